@@ -1,0 +1,34 @@
+"""Flagship plan: label every referral (L1) and attach its as-of history features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.asof import asof_sums, percent
+from .fixtures import order_activity
+from .q_effect import labelled_orders
+
+EFFICIENT_THRESHOLD = 0.8
+
+
+def referral_history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = labelled_orders(spark, sf_dir)
+    act = order_activity(spark, sf_dir)
+    probes = lab.select("referral_id", "actor", "own", "target", "t", "is_effective")
+    x = asof_sums(act, probes, {"actor": "actor", "own": "community"}, "t",
+                  {"number_original_subreddit": F.lit(1)})
+    x = asof_sums(act, x, {"actor": "actor", "target": "community"}, "t",
+                  {"number_recommend_subreddit": F.lit(1)})
+    x = asof_sums(lab.select("actor", "t", "score", "is_effective"), x, ["actor"], "t", {
+        "number_of_references": F.when(F.col("score") >= EFFICIENT_THRESHOLD, 1).otherwise(0),
+        "number_of_checked_references": F.lit(1),
+        "number_of_efficient_references": F.when(F.col("is_effective") == 1, 1).otherwise(0),
+        "number_of_inefficient_references": F.when(F.col("is_effective") == -1, 1).otherwise(0),
+    })
+    x = asof_sums(lab.select("target", "t", "score"), x, ["target"], "t", {
+        "number_of_references_to_recommended_subreddit":
+            F.when(F.col("score") >= EFFICIENT_THRESHOLD, 1).otherwise(0),
+    })
+    return x.withColumn("percent_efficient_references",
+                        percent(F.col("number_of_efficient_references"), F.col("number_of_checked_references")))

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload reads finite monthly archives only — no watermark, window, state store or
+late-data rule exists in it — so nothing here is streaming.  Every operator in ``xcomm`` is a
+DataFrame → DataFrame function, so it can also be applied per micro-batch from
+``writeStream.foreachBatch`` if a caller lands archives incrementally.
+"""
