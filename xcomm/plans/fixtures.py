@@ -33,9 +33,15 @@ def epoch_micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def pick(values: list[str], idx: Column) -> Column:
-    """values[pmod(idx, len)] as a column (literal array lookup, no join)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(idx, F.lit(len(values))) + 1).cast("int"))
+def pick(values: list, idx: Column) -> Column:
+    """values[pmod(idx, len)] as a column (array lookup, no join); values are literals or columns."""
+    arr = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
+    return F.element_at(arr, (F.pmod(idx, F.lit(len(values))) + 1).cast("int"))
+
+
+def idiv(c: str, d: int) -> Column:
+    """Integer division of a non-negative integral column."""
+    return F.floor(F.col(c) / F.lit(d)).cast("long")
 
 
 def order_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +87,31 @@ def thread_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("comment_author"),
         epoch_seconds("l_shipdate").alias("comment_created_time"),
     )
+
+
+# Fixed pieces of the synthetic comment bodies built from ``events`` (each event is a comment):
+# lead-in text, marker (the last one is not a marker), stop text after the name, trailing text.
+BODY_LEADS = ["see ", "go to ", "I am a bot, and this action was performed automatically ", "credit to ",
+              "Edit: try ", "you might like "]
+BODY_MARKERS = ["/r/", "/r/", "/r/", "r/"]
+BODY_STOPS = ["", " ", "\n", "!", ")", "]", ".", "?", ",", '"', ".)", ").", " now!", ',"', "/x", "\n!"]
+ALLOWED = ["click", "purchase", "signup", "view"]
+
+
+def event_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a comment: own community = event type; body points to a type picked from the
+    ids; the post author is '[deleted]' for every ninth user."""
+    e = table(spark, sf_dir, "events")
+    other = pick(EVENT_TYPES, F.col("user_id"))
+    tails = [F.lit(""), F.concat(F.lit(" and /r/"), other), F.lit(" thanks"), F.concat(F.lit("/r/"), other, F.lit(" too"))]
+    body = F.concat(
+        pick(BODY_LEADS, idiv("event_id", 3)),
+        pick(BODY_MARKERS, idiv("event_id", 11)),
+        pick(EVENT_TYPES, F.col("user_id") + idiv("event_id", 5)),
+        pick(BODY_STOPS, F.col("event_id")),
+        pick(tails, idiv("event_id", 7)),
+    )
+    author = F.when(F.pmod(F.col("user_id"), F.lit(9)) == 0, F.lit("[deleted]")).otherwise(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return e.select("event_id", F.col("event_type").alias("subreddit"), author.alias("submission_author"),
+                    body.alias("comment_body"))

@@ -25,11 +25,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def sql_str(v: str) -> str:
+    """A DuckDB string expression (newlines via chr(10))."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in v.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
 def sql_list(values: list[str]) -> str:
     """A DuckDB list literal of strings."""
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    return "[" + ", ".join(sql_str(v) for v in values) + "]"
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_effect, q_history  # noqa: F401
+    from . import q_effect, q_history, q_mentions, q_sources  # noqa: F401
