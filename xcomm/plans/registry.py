@@ -38,4 +38,4 @@ def sql_list(values: list[str]) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_effect, q_history, q_mentions, q_sources  # noqa: F401
+    from . import q_effect, q_eval, q_history, q_mentions, q_similarity, q_sources  # noqa: F401
