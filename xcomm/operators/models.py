@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Binarizer, MinMaxScaler
@@ -121,26 +122,52 @@ class HingeSVM:
         return _Dropping(SparkMLModel(svc.fit(_label01(train)), "classifier"), ["__xc_rawp"])
 
 
+def _minmax_clamped(arr_col, lo: list, hi: list) -> F.Column:
+    """(x − min)/(max − min) clamped to [0, 1]; a constant column gives 0 (Q27)."""
+    lo_a = F.array(*[F.lit(float(v)) for v in lo])
+    rng = F.array(*[F.lit(float(h - l)) for l, h in zip(lo, hi)])
+    scaled = F.zip_with(F.zip_with(arr_col, lo_a, lambda x, a: x - a), rng,
+                        lambda d, r: F.when(r > 0, F.least(F.greatest(d / r, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0)))
+    return array_to_vector(scaled)
+
+
+@dataclass
+class NBModel:
+    model: object
+    lo: list | None
+    hi: list | None
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        x = df
+        if self.lo is not None:
+            x = x.withColumn("__xc_nb", _minmax_clamped(vector_to_array(FEATURES), self.lo, self.hi))
+        else:
+            x = x.withColumn("__xc_nb", F.col(FEATURES))
+        out = self.model.transform(x)
+        return out.withColumn("prediction", F.when(F.col("__xc_pred") > 0.5, 1).otherwise(-1)).drop(
+            "__xc_pred", "__xc_nb", "__xc_nbb", "__xc_rawp", "__xc_prob")
+
+
 class NaiveBayesModel:
-    """C13 (multinomial, min-max scaled to be non-negative) and C14 (Bernoulli on x > 0)."""
+    """C13 (multinomial on features min-max scaled by the training range, clamped to [0, 1] so
+    test rows stay non-negative) and C14 (Bernoulli on x > 0)."""
 
     def __init__(self, kind: str = "multinomial", smoothing: float = 0.01):
         self.kind, self.smoothing = kind, smoothing
 
-    def fit(self, train: DataFrame) -> SparkMLModel:
-        stages = []
-        col = FEATURES
+    def fit(self, train: DataFrame) -> NBModel:
+        nb_kwargs = dict(labelCol="__xc_y01", predictionCol="__xc_pred", modelType=self.kind,
+                         smoothing=self.smoothing, rawPredictionCol="__xc_rawp", probabilityCol="__xc_prob")
         if self.kind == "bernoulli":
-            stages.append(Binarizer(threshold=0.0, inputCol=FEATURES, outputCol="__xc_bin"))
-            col = "__xc_bin"
-        else:
-            stages.append(MinMaxScaler(inputCol=FEATURES, outputCol="__xc_mm"))
-            col = "__xc_mm"
-        stages.append(NaiveBayes(featuresCol=col, labelCol="__xc_y01", predictionCol="__xc_pred",
-                                 modelType=self.kind, smoothing=self.smoothing, rawPredictionCol="__xc_rawp",
-                                 probabilityCol="__xc_prob"))
-        m = Pipeline(stages=stages).fit(_label01(train))
-        return _Dropping(SparkMLModel(m, "classifier"), [col, "__xc_rawp", "__xc_prob"])
+            stages = [Binarizer(threshold=0.0, inputCol="__xc_nb", outputCol="__xc_nbb"),
+                      NaiveBayes(featuresCol="__xc_nbb", **nb_kwargs)]
+            m = Pipeline(stages=stages).fit(_label01(train).withColumn("__xc_nb", F.col(FEATURES)))
+            return NBModel(m, None, None)
+        r = train.agg(Summarizer.min(F.col(FEATURES)).alias("lo"), Summarizer.max(F.col(FEATURES)).alias("hi")).first()
+        lo, hi = r["lo"].toArray().tolist(), r["hi"].toArray().tolist()
+        x = _label01(train).withColumn("__xc_nb", _minmax_clamped(vector_to_array(FEATURES), lo, hi))
+        m = NaiveBayes(featuresCol="__xc_nb", **nb_kwargs).fit(x)
+        return NBModel(m, lo, hi)
 
 
 @dataclass
@@ -380,7 +407,9 @@ class RBFSVM:
         W = rng.normal(0.0, np.sqrt(2 * gamma), size=(p, self.D))
         b = rng.uniform(0, 2 * np.pi, size=self.D)
         n = train.count()
-        inner = HingeSVM(alpha=1.0 / (self.C * max(n, 1)), max_iter=50).fit(_rff(train, W, b).drop("__xc_rff", "__xc_orig"))
+        z = _rff(train, W, b).drop("__xc_rff", "__xc_orig").persist(StorageLevel.MEMORY_AND_DISK)
+        inner = HingeSVM(alpha=1.0 / (self.C * max(n, 1)), max_iter=50).fit(z)
+        z.unpersist()
         return RFFModel(W, b, inner)
 
 

@@ -16,17 +16,18 @@ from .fixtures import table
 from .q_eval import AUTHOR_K
 from .registry import query
 
-DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_upper", "n_digits"]
+DOC_COUNTS = ["n_chars", "n_words", "n_lines", "n_upper", "n_digits"]
+DOC_FEATURES = [f"log_{c}" for c in DOC_COUNTS]
 CV_K = 5
 
 
 def doc_features(spark, sf_dir):
     """Labelled feature rows: one per labelled document; label ±1 from quality, author = source,
-    numeric text features computed with built-in expressions over the whole text."""
+    numeric text features computed with built-in expressions over the whole text, plus their
+    log1p versions (``log_*``) that the classifiers train on."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
-    x = lab.join(d, "doc_id", "inner")
-    return x.select(
+    x = lab.join(d, "doc_id", "inner").select(
         "doc_id", "source", "lang", (2 * F.col("quality") - 1).cast("int").alias("IsEfficient"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.size(F.regexp_extract_all("text", F.lit(WORD_TOKEN), 0)).cast("long").alias("n_words"),
@@ -35,6 +36,7 @@ def doc_features(spark, sf_dir):
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("long").alias("n_digits"),
         (F.lit(100.0) * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.length("text")).alias("pct_upper"),
     )
+    return x.select("*", *[F.log1p(c).alias(f"log_{c}") for c in DOC_COUNTS])
 
 
 def doc_folds(spark, sf_dir, k=CV_K):
@@ -82,7 +84,7 @@ def q_pooled_cv_logistic(spark, sf_dir):
 @query("group_search")
 def q_group_search(spark, sf_dir):
     """V9: every subset of two feature groups that holds the 'length' group, one model."""
-    groups = {"length": ["n_chars", "n_words", "n_lines"], "case": ["n_upper", "n_digits"]}
+    groups = {"length": ["log_n_chars", "log_n_words", "log_n_lines"], "case": ["log_n_upper", "log_n_digits"]}
     res = feature_group_search(doc_folds(spark, sf_dir), groups, ["NearestCentroid"], "IsEfficient",
                                "group_number", must_include="length", threads=2)
     return fold_means(res, ["classifier_name", "group_list"])
@@ -91,7 +93,7 @@ def q_group_search(spark, sf_dir):
 @query("backward_elimination")
 def q_backward_elimination(spark, sf_dir):
     """Greedy backward elimination over three features with the nearest-centroid model."""
-    path = stepwise(doc_folds(spark, sf_dir), ["n_chars", "n_words", "n_upper"], "NearestCentroid",
+    path = stepwise(doc_folds(spark, sf_dir), ["log_n_chars", "log_n_words", "log_n_upper"], "NearestCentroid",
                     "IsEfficient", "group_number", "backward", threads=2)
     return spark.createDataFrame([(i, cols, float(a)) for i, (cols, a) in enumerate(path)],
                                  "step int, features_list array<string>, auc double")
@@ -100,7 +102,7 @@ def q_backward_elimination(spark, sf_dir):
 @query("forward_selection")
 def q_forward_selection(spark, sf_dir):
     """Greedy forward selection over three features with the nearest-centroid model."""
-    path = stepwise(doc_folds(spark, sf_dir), ["n_chars", "n_words", "n_upper"], "NearestCentroid",
+    path = stepwise(doc_folds(spark, sf_dir), ["log_n_chars", "log_n_words", "log_n_upper"], "NearestCentroid",
                     "IsEfficient", "group_number", "forward", threads=2)
     return spark.createDataFrame([(i, cols, float(a)) for i, (cols, a) in enumerate(path)],
                                  "step int, features_list array<string>, auc double")
