@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.asof import asof_bag, asof_sums, percent
+from ..operators.asof import asof_bag, asof_many, asof_sums, percent
 from ..operators.similarity import bag_cosine
 from .fixtures import EVENT_TYPES, event_activity, order_activity, order_referrals, thread_comments, thread_posts
 from .q_effect import LABELLED_CTE, ORDER_CTES, labelled_orders
@@ -24,8 +24,11 @@ def q_asof_pair_counts(spark, sf_dir):
     """A1 on ``orders`` (day-level ties: same-day activity must not count)."""
     refs = order_referrals(spark, sf_dir).select("referral_id", "actor", "own", "target", "t")
     act = order_activity(spark, sf_dir)
-    x = asof_sums(act, refs, {"actor": "actor", "own": "community"}, "t", {"n_own": F.lit(1)})
-    return asof_sums(act, x, {"actor": "actor", "target": "community"}, "t", {"n_target": F.lit(1)})
+    counts = asof_many(refs, ["referral_id"], [
+        dict(history=act, keys={"actor": "actor", "own": "community"}, time="t", weights={"n_own": F.lit(1)}),
+        dict(history=act, keys={"actor": "actor", "target": "community"}, time="t", weights={"n_target": F.lit(1)}),
+    ])
+    return refs.join(counts, "referral_id")
 
 
 @query("asof_actor_counts", f"""
@@ -42,9 +45,12 @@ def q_asof_actor_counts(spark, sf_dir):
     in the target type, and in all types."""
     ev = event_activity(spark, sf_dir)
     hist = ev.select("actor", "community", "t")
-    x = asof_sums(hist, ev, ["actor", "community"], "t", {"n_own": F.lit(1)})
-    x = asof_sums(hist, x, {"actor": "actor", "target": "community"}, "t", {"n_target": F.lit(1)})
-    return asof_sums(hist, x, ["actor"], "t", {"n_all": F.lit(1)})
+    counts = asof_many(ev, ["event_id"], [
+        dict(history=hist, keys=["actor", "community"], time="t", weights={"n_own": F.lit(1)}),
+        dict(history=hist, keys={"actor": "actor", "target": "community"}, time="t", weights={"n_target": F.lit(1)}),
+        dict(history=hist, keys=["actor"], time="t", weights={"n_all": F.lit(1)}),
+    ])
+    return ev.join(counts, "event_id")
 
 
 @query("asof_effect_rate", f"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,9 +25,33 @@ REQUIRED_CONF = {
 def apply_conf(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``xcomm`` importable on the executors' Python workers (pandas UDFs pickle functions
+    by module reference): zip the package once and ``addPyFile`` it to the session."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="xcomm-pkg-")
+    archive = os.path.join(out_dir, "xcomm.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("xcomm", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "xcomm") -> SparkSession:
     """A local session for tests and the bench (UI off, Arrow on)."""
     builder = (
@@ -44,6 +69,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "xcomm
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
