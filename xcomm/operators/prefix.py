@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TIEBREAK = "__xc_tiebreak"
+_PID = "__xc_pid"
 
 # Persisted stage DataFrames, so a long-lived session can release them (``release_staged``).
 _STAGED: list[DataFrame] = []
@@ -99,6 +100,9 @@ def keyed_exclusive_sum(
         df.withColumn(_TIEBREAK, F.xxhash64(*[F.col(c) for c in df.columns]))
         .repartitionByRange(n_parts, *sort_cols)
         .sortWithinPartitions(*sort_cols)
+        # the range partition of every row, fixed before caching: task partition ids are not
+        # reliable once the output is unioned or otherwise re-numbered downstream
+        .withColumn(_PID, F.spark_partition_id())
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     _STAGED.append(staged)
@@ -119,9 +123,11 @@ def keyed_exclusive_sum(
         first_key = first_tot = None  # first run of the partition and its total once closed
         cur_key = cur_tot = None  # the run still open at the end of the batches seen so far
         n_runs = 0
+        pid = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            pid = int(pdf[_PID].iloc[0])
             cols = [pdf[k].to_numpy() for k in keys]
             W = _weight_matrix(pdf, weights, np_types)
             starts = np.flatnonzero(~_same_as_prev(cols, cur_key))
@@ -145,7 +151,7 @@ def keyed_exclusive_sum(
         n_runs += 1
         if first_tot is None:
             first_tot = cur_tot
-        row = {"pid": TaskContext.get().partitionId(), "single": n_runs == 1}
+        row = {"pid": pid, "single": n_runs == 1}
         for k, v in zip(keys, first_key):
             row[f"fk_{k}"] = v
         for k, v in zip(keys, cur_key):
@@ -176,21 +182,24 @@ def keyed_exclusive_sum(
 
     # ---- pass 2: running sums inside each partition plus its carry-in ---------------------------
     out_schema = T.StructType(
-        [f for f in staged.schema.fields if f.name != _TIEBREAK]
+        [f for f in staged.schema.fields if f.name not in (_TIEBREAK, _PID)]
         + [T.StructField(f"{w}{suffix}", wt) for w, wt in zip(weights, w_types)]
     )
     out_names = [f.name for f in out_schema.fields]
 
     def scan(batches):
-        pid = TaskContext.get().partitionId()
+        pid = None
         prev_key = None
         prev_run = None
-        if pid in carry:
-            prev_key, c = carry[pid]
-            prev_run = np.array(c, dtype=np.float64 if not all(is_int) else np.int64)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            batch_pid = int(pdf[_PID].iloc[0])
+            if batch_pid != pid:  # a new range partition starts: take its carry-in
+                pid, prev_key, prev_run = batch_pid, None, None
+                if pid in carry:
+                    prev_key, c = carry[pid]
+                    prev_run = np.array(c, dtype=np.float64 if not all(is_int) else np.int64)
             cols = [pdf[k].to_numpy() for k in keys]
             W = _weight_matrix(pdf, weights, np_types)
             same = _same_as_prev(cols, prev_key)
@@ -217,7 +226,7 @@ def keyed_exclusive_sum(
             else:
                 prev_run = W[last_run_start:].sum(axis=0)
             prev_key = _key_at(cols, len(pdf) - 1)
-            out = pdf.drop(columns=[_TIEBREAK])
+            out = pdf.drop(columns=[_TIEBREAK, _PID])
             for j, w in enumerate(weights):
                 out[f"{w}{suffix}"] = excl[:, j].astype(np_types[j])
             yield out[out_names]
