@@ -33,9 +33,10 @@ def make_rows(n, seed, hot_share=0.34, null_keys=False):
 def test_scan_matches_brute_force_with_hot_key(spark):
     rows = make_rows(600, 1, null_keys=True)
     df = spark.createDataFrame(pd.DataFrame(rows))
-    got = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=7)
-    res = sorted((r["id"], r["w_before"]) for r in got.collect())
-    assert res == brute(rows, ["k"], ["t", "id"], ["w"])
+    exp = brute(rows, ["k"], ["t", "id"], ["w"])
+    for bound in (0, 10**9):  # forced scan, window
+        got = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=7, max_group_rows=bound)
+        assert sorted((r["id"], r["w_before"]) for r in got.collect()) == exp
 
 
 def test_scan_global_key_and_float_weights(spark):
@@ -43,18 +44,18 @@ def test_scan_global_key_and_float_weights(spark):
     for r in rows:
         r["g"] = 0
     df = spark.createDataFrame(pd.DataFrame(rows))
-    got = keyed_exclusive_sum(df, ["g"], ["t", "id"], ["w", "v"], num_partitions=5)
-    res = sorted((r["id"], r["w_before"], round(r["v_before"], 9)) for r in got.collect())
     exp = [(i, a, round(b, 9)) for i, a, b in brute(rows, ["g"], ["t", "id"], ["w", "v"])]
-    assert res == exp
+    for bound in (0, 10**9):
+        got = keyed_exclusive_sum(df, ["g"], ["t", "id"], ["w", "v"], num_partitions=5, max_group_rows=bound)
+        assert sorted((r["id"], r["w_before"], round(r["v_before"], 9)) for r in got.collect()) == exp
 
 
 def test_scan_output_survives_union(spark):
     """Carries must follow the data even when the scan output is unioned (task ids renumbered)."""
     rows = make_rows(400, 3, hot_share=0.6)
     df = spark.createDataFrame(pd.DataFrame(rows))
-    a = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=6).select("id", "w_before")
-    b = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=9).select("id", "w_before")
+    a = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=6, max_group_rows=0).select("id", "w_before")
+    b = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=9, max_group_rows=0).select("id", "w_before")
     got = sorted((r["id"], r["w_before"]) for r in a.unionByName(b).collect())
     exp = sorted(brute(rows, ["k"], ["t", "id"], ["w"]) * 2)
     assert got == exp
@@ -65,6 +66,15 @@ def test_scan_multi_key_columns(spark):
     for r in rows:
         r["k2"] = r["id"] % 3
     df = spark.createDataFrame(pd.DataFrame(rows))
-    got = keyed_exclusive_sum(df, ["k", "k2"], ["t", "id"], ["w"], num_partitions=4)
-    res = sorted((r["id"], r["w_before"]) for r in got.collect())
-    assert res == brute(rows, ["k", "k2"], ["t", "id"], ["w"])
+    for bound in (0, 10**9):
+        got = keyed_exclusive_sum(df, ["k", "k2"], ["t", "id"], ["w"], num_partitions=4, max_group_rows=bound)
+        assert sorted((r["id"], r["w_before"]) for r in got.collect()) == brute(rows, ["k", "k2"], ["t", "id"], ["w"])
+
+
+def test_hot_key_above_bound_takes_scan(spark):
+    """With a bound below the hot key's size the scan path runs (no single task holds the key)."""
+    rows = make_rows(500, 9, hot_share=0.5)
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    got = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=8, max_group_rows=100)
+    assert "MapInPandas" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["w_before"]) for r in got.collect()) == brute(rows, ["k"], ["t", "id"], ["w"])

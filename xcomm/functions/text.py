@@ -115,5 +115,9 @@ def embed_tokens(c, stop_words: list[str] | None = None) -> Column:
     x = F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
     x = F.translate(x, EMBED_PUNCT, " " * len(EMBED_PUNCT))
     toks = F.split(x, " ", -1)
-    stop_arr = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
-    return F.filter(toks, lambda t: (t != F.lit("")) & ~F.array_contains(stop_arr, t) & (F.instr(t, "\r\r") == 0))
+
+    def keep(t):
+        ok = (t != F.lit("")) & (F.instr(t, "\r\r") == 0)
+        return ok & ~t.isin(*stop) if stop else ok  # a literal IN list becomes a hash-set lookup
+
+    return F.filter(toks, keep)

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,11 @@ def _weight_matrix(pdf: pd.DataFrame, weights: list[str], dtypes: list[np.dtype]
     return np.column_stack([pdf[w].fillna(0).to_numpy(dtype=dt) for w, dt in zip(weights, dtypes)])
 
 
+# Largest key group (rows) that may be handled by one window task.  A key above it takes the
+# two-pass scan.  Overridable per session with ``spark.conf.set("xcomm.scan.maxGroupRows", n)``.
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
 def keyed_exclusive_sum(
     df: DataFrame,
     keys: list[str],
@@ -80,6 +85,7 @@ def keyed_exclusive_sum(
     weights: list[str],
     suffix: str = "_before",
     num_partitions: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """For every row add ``<w><suffix>`` = sum of ``w`` over rows with the same ``keys`` that sort
     strictly earlier by ``order``.  Rows equal on ``keys + order`` are summed in an arbitrary
@@ -87,7 +93,37 @@ def keyed_exclusive_sum(
     lookups: probes with tag 0 before history rows with tag 1 at the same time).
 
     Weights must be integral or floating columns; nulls count as 0.  Key nulls form their own key.
+
+    Strategy: one aggregation measures the largest key group.  When it is at most
+    ``max_group_rows`` the sums come from a native window (ROWS frame, JVM, codegen; no group is
+    larger than the bound, so no task is).  Otherwise the two-pass range-partitioned scan below
+    splits even the hottest key over many tasks.
     """
+    spark = df.sparkSession
+    if max_group_rows is None:
+        max_group_rows = int(spark.conf.get("xcomm.scan.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
+    if max_group_rows > 0:
+        # materialised once: the size check and the window below read the same cached rows
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _STAGED.append(df)
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= max_group_rows:
+            return _window_exclusive_sum(df, keys, order, weights, suffix)
+    return _scan_exclusive_sum(df, keys, order, weights, suffix, num_partitions)
+
+
+def _window_exclusive_sum(df, keys, order, weights, suffix):
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df
+    for c in weights:
+        dt = df.schema[c].dataType
+        zero = F.lit(0).cast("long") if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else F.lit(0.0)
+        val = F.coalesce(F.col(c), zero)
+        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.sum(val).over(w), zero))
+    return out
+
+
+def _scan_exclusive_sum(df, keys, order, weights, suffix, num_partitions):
     spark = df.sparkSession
     n_parts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = df.schema
