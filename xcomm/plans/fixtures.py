@@ -79,10 +79,23 @@ def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_comment_id() -> Column:
+    """A line item's comment id: (order, line, part, supplier, ship time) — the order and line
+    number alone repeat in the generated tables."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                       epoch_seconds("l_shipdate").cast("string"))
+
+
+# The same id in the oracle SQL.
+LINE_COMMENT_ID_SQL = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || "
+                       "CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || "
+                       "CAST(CAST(epoch(l_shipdate) AS BIGINT) AS VARCHAR)")
+
+
 def thread_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("comment_id"),
+        line_comment_id().alias("comment_id"),
         F.col("l_orderkey").alias("link_id"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("comment_author"),
         epoch_seconds("l_shipdate").alias("comment_created_time"),

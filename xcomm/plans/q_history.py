@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof_bag, asof_many, asof_sums, percent
 from ..operators.similarity import bag_cosine
-from .fixtures import EVENT_TYPES, event_activity, order_activity, order_referrals, thread_comments, thread_posts
+from .fixtures import (EVENT_TYPES, LINE_COMMENT_ID_SQL, event_activity, order_activity, order_referrals,
+                       thread_comments, thread_posts)
 from .q_effect import LABELLED_CTE, ORDER_CTES, labelled_orders
 from .registry import query, sql_list
 
@@ -91,11 +92,11 @@ def q_asof_target_popularity(spark, sf_dir):
                      {"n_to_target": F.when(F.col("score") >= EFFICIENT_THRESHOLD, 1).otherwise(0)})
 
 
-THREAD_CTES = """
+THREAD_CTES = f"""
 posts AS (SELECT o_orderkey AS link_id, 'c' || CAST(o_custkey AS VARCHAR) AS submission_author,
                  o_orderpriority AS subreddit, CAST(epoch(o_orderdate) AS BIGINT) AS submission_created_time
           FROM orders),
-comments AS (SELECT l_orderkey * 8 + l_linenumber AS comment_id, l_orderkey AS link_id,
+comments AS (SELECT {LINE_COMMENT_ID_SQL} AS comment_id, l_orderkey AS link_id,
                     's' || CAST(l_suppkey AS VARCHAR) AS comment_author,
                     CAST(epoch(l_shipdate) AS BIGINT) AS comment_created_time FROM lineitem),
 thread AS (SELECT c.*, p.submission_author, p.subreddit, p.submission_created_time
