@@ -77,3 +77,34 @@ def test_small_queries_run_on_smoke_tables(spark):
     for name in ["label_effect", "referral_filter", "mention_target_pages", "corpus_similarity", "idf_table",
                  "roc_auc", "author_folds"]:
         assert qs[name](spark, SF001).count() >= 0
+
+
+def test_pair_similarity_job(spark):
+    from xcomm.plans.jobs import pair_similarity_job
+
+    d = tempfile.mkdtemp(prefix="xcomm-test-")
+    src = os.path.join(d, "in.csv")
+    with open(src, "w") as fh:
+        fh.write("comment_body,comment_path,comment_id,parent_id,submission_id,Reut_label,comments,"
+                 "original_message,parent_body,extra_9,extra_10\n")
+        fh.write('"a b b",p,c1,p1,s1,1,x,"a b b","c d",,\n')
+        fh.write('"x",p,c2,p1,s1,0,x,,"x",,\n')
+    out = pair_similarity_job(spark, src, os.path.join(d, "out"))
+    got = {r["comment_id"]: (r["parent_similarity"], r["original_similarity"]) for r in out.collect()}
+    assert got["c1"][0] == 0.0 and abs(got["c1"][1] - 1.0) < 1e-12
+    assert abs(got["c2"][0] - 1.0) < 1e-12 and got["c2"][1] == 0.0
+    back = spark.read.csv(os.path.join(d, "out"), header=True)
+    assert set(back.columns) >= {"parent_similarity", "original_similarity", "comment_body"}
+
+
+def test_extract_listing_mentions(spark):
+    from xcomm.plans.jobs import extract_listing_mentions
+    from xcomm.sources.tables import allow_list_frame
+
+    listing = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3)], "submission_id string, rank int")
+    comments = spark.createDataFrame([
+        ("c1", "p1", "try /r/keto", "diet"), ("c2", "p1", "try /r/keto", "keto"), ("c3", "p2", "/r/running!", "diet"),
+        ("c4", "p3", "/r/keto", "diet"), ("c5", "p2", "/r/keto edited", "diet"), ("c6", "p1", "/r/unknown", "diet"),
+    ], "comment_id string, submission_id string, comment_body string, subreddit string")
+    got = extract_listing_mentions(listing, comments, allow_list_frame(spark, ["keto", "running!"]), 2)
+    assert sorted((r["comment_id"], r["target"]) for r in got.collect()) == [("c1", "keto"), ("c3", "running!")]
