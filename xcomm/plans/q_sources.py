@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.time import elapsed_hmm, gmt_hour
-from ..sources.tables import allow_list_frame, comment_tree, to_activity, top_listing
+from ..sources.tables import allow_list_frame, cast_numeric, comment_tree, ranked, to_activity, top_listing
 from .fixtures import ALLOWED, epoch_seconds, event_comments, table, thread_posts
 from .q_history import THREAD_CTES, thread
 from .q_mentions import REFERRAL_FILTER_SQL, referrals_from_events
@@ -63,7 +63,7 @@ def q_allowlist_semi(spark, sf_dir):
     return e.join(F.broadcast(allow), "event_type", "left_semi").select("event_id", "event_type")
 
 
-@query("three_key_join", f"""
+THREE_KEY_SQL = f"""
 WITH r AS ({REFERRAL_FILTER_SQL}),
 s AS (SELECT event_id, event_type AS subreddit,
              CASE WHEN user_id % 9 = 0 THEN '[deleted]' ELSE 'u' || CAST(user_id AS VARCHAR) END AS submission_author,
@@ -73,7 +73,10 @@ rr AS (SELECT b.event_id, b.subreddit, b.submission_author, r.recommend_subreddi
                     SELECT event_id, subreddit, submission_author FROM b) b USING (event_id))
 SELECT rr.event_id, rr.recommend_subreddit, round(s.classifier_result, 6) AS classifier_result
 FROM rr JOIN s ON rr.event_id = s.event_id AND rr.subreddit = s.subreddit AND rr.submission_author = s.submission_author
-""")
+"""
+
+
+@query("three_key_join", THREE_KEY_SQL)
 def q_three_key_join(spark, sf_dir):
     """First-stage scores joined back onto the referrals on three keys."""
     refs = referrals_from_events(spark, sf_dir)
@@ -128,3 +131,21 @@ def q_elapsed_hmm(spark, sf_dir):
     """a duration as H.MM; the duration is seconds since the start of the event log."""
     e = table(spark, sf_dir, "events").select("event_id", (epoch_seconds("ts") - F.lit(1704067200)).alias("time_to_comment"))
     return e.select("event_id", "time_to_comment", F.round(elapsed_hmm("time_to_comment"), 6).alias("time_between_messages"))
+
+
+@query("ranked_referrals", f"""
+SELECT * FROM ({THREE_KEY_SQL}) WHERE classifier_result > 0.5 ORDER BY classifier_result DESC, event_id
+""")
+def q_ranked_referrals(spark, sf_dir):
+    """P13 + O1: scored referrals above a score, ordered by score for the sink."""
+    return ranked(q_three_key_join(spark, sf_dir).where(F.col("classifier_result") > 0.5), "classifier_result",
+                  "event_id")
+
+
+@query("numeric_cast", """
+SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events
+""")
+def q_numeric_cast(spark, sf_dir):
+    """A numeric field read from text with an explicit, failure-tolerant cast."""
+    e = table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("k"))
+    return cast_numeric(e, ["k"])

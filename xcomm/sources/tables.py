@@ -131,3 +131,18 @@ def pending_cells(spark: SparkSession, cells: DataFrame, done_path: str, keys: l
 def append_cell(df: DataFrame, done_path: str) -> None:
     """Append one finished cell's result rows; a crashed run resumes from what is written."""
     df.write.mode("append").parquet(done_path)
+
+
+def cast_numeric(df: DataFrame, cols: list[str], to: str = "bigint") -> DataFrame:
+    """P15 (Q8): explicit numeric casts; a value that does not parse becomes null, not an error."""
+    return df.select(*[F.expr(f"try_cast(`{c}` AS {to})").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted Spark ML model / pipeline (distributed write, overwrite)."""
+    model.write().overwrite().save(path)
+
+
+def ranked(df: DataFrame, score: str, id_col: str) -> DataFrame:
+    """O1: final ordering by score, highest first (ties by id) — applied only at the sink."""
+    return df.orderBy(F.col(score).desc(), F.col(id_col).asc())
