@@ -46,7 +46,7 @@ def doc_folds(spark, sf_dir, k=CV_K):
 def _cv_query(model_name):
     def run(spark, sf_dir):
         res = grouped_cv(doc_folds(spark, sf_dir), DOC_FEATURES, [model_name], "IsEfficient", "group_number",
-                         threads=2)
+                         threads=CV_K)
         return res.select("classifier_name", "fold", "score", "auc", "tn", "fp", "fn", "tp")
 
     run.__doc__ = f"V2 with {model_name}: author-disjoint {CV_K}-fold CV on the labelled document features."
