@@ -108,3 +108,15 @@ def test_extract_listing_mentions(spark):
     ], "comment_id string, submission_id string, comment_body string, subreddit string")
     got = extract_listing_mentions(listing, comments, allow_list_frame(spark, ["keto", "running!"]), 2)
     assert sorted((r["comment_id"], r["target"]) for r in got.collect()) == [("c1", "keto"), ("c3", "running!")]
+
+
+def test_window_and_scan_paths_agree_on_real_tables(spark):
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    for name in ["asof_pair_counts", "asof_bag_cosine", "roc_points"]:
+        spark.conf.set("xcomm.scan.maxGroupRows", "0")  # hot-key scan for every key
+        scan = sorted(tuple(r) for r in qs[name](spark, SF001).collect())
+        spark.conf.unset("xcomm.scan.maxGroupRows")  # default bound: window path here
+        window = sorted(tuple(r) for r in qs[name](spark, SF001).collect())
+        assert scan == window, name

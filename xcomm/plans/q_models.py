@@ -11,7 +11,7 @@ from ..operators.evaluate import grouped_cv, pooled_cv
 from ..operators.folds import author_folds, history_band, mix_hash, stratified_folds
 from ..operators.metrics import binary_metrics
 from ..operators.models import FEATURES, LABEL, make_model
-from ..operators.select import band_average, best_candidate, feature_group_search, fold_means, stepwise
+from ..operators.select import band_average, band_loop, best_candidate, feature_group_search, fold_means, stepwise
 from .fixtures import table
 from .q_eval import AUTHOR_K
 from .registry import query
@@ -227,3 +227,15 @@ def q_grid_best(spark, sf_dir):
         F.avg("score").alias("score"), F.avg("auc").alias("auc")).where(F.col("auc").isNotNull())
     best = best_candidate(means, ["Peff_down_threshold", "Peff_up_threshold"], "candidate", "auc")
     return best.select("Peff_down_threshold", "Peff_up_threshold", "candidate", F.round("auc", 6).alias("auc"))
+
+
+@query("band_cv")
+def q_band_cv(spark, sf_dir):
+    """V12 + V13: per history band (on the upper-case share), author-disjoint folds inside the band
+    (k = 5, 3 for the top band) and a grouped CV of one model; then the mean over bands."""
+    bands = [(d, u, 3 if u >= 100.0 else 5) for d, u in BANDS]
+    res = band_loop(doc_features(spark, sf_dir), "pct_upper", bands, DOC_FEATURES, ["NearestCentroid"],
+                    "IsEfficient", "source", threads=4)
+    means = res.groupBy("classifier_name", "Peff_down_threshold", "Peff_up_threshold").agg(
+        F.avg("score").alias("score"), F.avg("auc").alias("auc"))
+    return band_average(means, ["classifier_name"], ["score", "auc"])
