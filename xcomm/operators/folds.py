@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from .prefix import keyed_exclusive_sum
 
 
+_MIX = 2654435761
+_TWO32 = 4294967296
+
+
 def mix_hash(c) -> Column:
-    """A cheap deterministic integer mix in [0, 2^32): (id · 2654435761) mod 2^32.  Written with
-    plain arithmetic so any SQL engine computes the same value."""
-    x = F.col(c) if isinstance(c, str) else c
-    return F.pmod(x.cast("long") * F.lit(2654435761), F.lit(4294967296))
+    """A cheap deterministic integer mix in [0, 2^32): (id · 2654435761) mod 2^32 — plain
+    arithmetic, so any SQL engine computes the same value.  The id is reduced mod 2^32 and split
+    in 16-bit halves first, so no intermediate product leaves the long range (ANSI mode raises on
+    overflow) whatever the id."""
+    x = F.pmod((F.col(c) if isinstance(c, str) else c).cast("long"), F.lit(_TWO32))
+    hi = F.floor(x / F.lit(65536)).cast("long")
+    lo = F.pmod(x, F.lit(65536))
+    hi_part = F.pmod(F.pmod(hi * F.lit(_MIX), F.lit(_TWO32)) * F.lit(65536), F.lit(_TWO32))
+    return F.pmod(hi_part + lo * F.lit(_MIX), F.lit(_TWO32))
 
 
 def history_band(df: DataFrame, col: str, down: float, up: float) -> DataFrame:

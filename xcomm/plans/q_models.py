@@ -34,7 +34,8 @@ def doc_features(spark, sf_dir):
         F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("long").alias("n_digits"),
-        (F.lit(100.0) * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.length("text")).alias("pct_upper"),
+        F.coalesce(F.try_divide(F.lit(100.0) * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")), F.length("text")),
+                   F.lit(0.0)).alias("pct_upper"),
     )
     return x.select("*", *[F.log1p(c).alias(f"log_{c}") for c in DOC_COUNTS])
 
