@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.asof import asof_bag, asof_many, asof_sums, percent
+from ..operators.asof import asof_bag, asof_many, asof_sums, pair_bag_cosine, percent
 from ..operators.similarity import bag_cosine
 from .fixtures import (EVENT_TYPES, LINE_COMMENT_ID_SQL, event_activity, order_activity, order_referrals,
                        thread_comments, thread_posts)
@@ -139,8 +139,35 @@ SELECT th.comment_id,
 FROM thread th LEFT JOIN cs USING (comment_id)
 """)
 def q_asof_bag_cosine(spark, sf_dir):
-    """A2 + F9 + F15: cosine between the community bag of the comment author before the comment
-    and that of the post author before the post."""
+    """F15 (+ A2 implicitly): cosine between the community bag of the comment author before the
+    comment and that of the post author before the post, without materialising the bags."""
+    th = thread(spark, sf_dir)
+    act = thread_activity(spark, sf_dir, th)
+    cos = pair_bag_cosine(act, th, "comment_id", ("comment_author", "comment_created_time"),
+                          ("submission_author", "submission_created_time"), out="c")
+    return cos.select("comment_id", F.round("c", 6).alias("cosine_similarity_subreddits_list"))
+
+
+@query("asof_bag_cosine_materialised", f"""
+WITH {THREAD_CTES},
+bc AS (SELECT th.comment_id, a.community, count(*) AS n FROM thread th
+       JOIN act a ON a.actor = th.comment_author AND a.t < th.comment_created_time GROUP BY ALL),
+bp AS (SELECT p.link_id, a.community, count(*) AS n FROM posts p
+       JOIN act a ON a.actor = p.submission_author AND a.t < p.submission_created_time GROUP BY ALL),
+bpc AS (SELECT th.comment_id, bp.community, bp.n FROM thread th JOIN bp USING (link_id)),
+terms AS (SELECT comment_id, community, sum(n1) AS c1, sum(n2) AS c2 FROM (
+            SELECT comment_id, community, n AS n1, 0 AS n2 FROM bc
+            UNION ALL SELECT comment_id, community, 0, n FROM bpc) GROUP BY ALL),
+cs AS (SELECT comment_id, CAST(sum(c1 * c2) AS DOUBLE) AS dot, CAST(sum(c1 * c1) AS DOUBLE) AS s1,
+              CAST(sum(c2 * c2) AS DOUBLE) AS s2 FROM terms GROUP BY ALL)
+SELECT th.comment_id,
+       round(coalesce(CASE WHEN s1 > 0 AND s2 > 0 THEN dot / (sqrt(s1) * sqrt(s2)) END, 0.0), 6)
+         AS cosine_similarity_subreddits_list
+FROM thread th LEFT JOIN cs USING (comment_id)
+""")
+def q_asof_bag_cosine_materialised(spark, sf_dir):
+    """A2 + F9 + F15 with the bags materialised as long-form (probe, community, n) tables, then
+    the generic bag cosine (the post bag is computed once per post and joined to its comments)."""
     th = thread(spark, sf_dir)
     act = thread_activity(spark, sf_dir, th)
     posts = thread_posts(spark, sf_dir)
