@@ -13,8 +13,9 @@ limit, by the classic two-pass parallel scan:
 4. pass 2: every partition computes its own running sums (numpy, vectorised per Arrow batch) and
    adds the carry-in to its first key run.
 
-The range-partitioned, sorted rows are persisted between the passes so both passes see the same
-partition bounds (a recomputed lost block re-reads the same shuffle, hence the same bounds).
+The range-partitioned, sorted rows are checkpointed (reliably, into the session's checkpoint
+folder) between the passes: both passes then read the very same partitions, whatever happens to
+caches or executors in between — a recomputation could otherwise re-sample different bounds.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 _TIEBREAK = "__xc_tiebreak"
 _PID = "__xc_pid"
 
@@ -139,9 +142,9 @@ def _scan_exclusive_sum(df, keys, order, weights, suffix, num_partitions):
         # the range partition of every row, fixed before caching: task partition ids are not
         # reliable once the output is unioned or otherwise re-numbered downstream
         .withColumn(_PID, F.spark_partition_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    _STAGED.append(staged)
+    ensure_checkpoint_dir(spark)
+    staged = staged.checkpoint(eager=True)
 
     # ---- pass 1: first / last key run of every partition ---------------------------------------
     summary_fields = [T.StructField("pid", T.IntegerType()), T.StructField("single", T.BooleanType())]
