@@ -106,9 +106,11 @@ def keyed_exclusive_sum(
     if max_group_rows is None:
         max_group_rows = int(spark.conf.get("xcomm.scan.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
     if max_group_rows > 0:
-        # materialised once: the size check and the window below read the same cached rows
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _STAGED.append(df)
+        if spark.conf.get("xcomm.scan.persistInput", "false") == "true":
+            # optional: the size check and the window read one cached copy instead of recomputing
+            # the input (measured slower when the input is a scan or a cheap join)
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            _STAGED.append(df)
         largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if largest <= max_group_rows:
             return _window_exclusive_sum(df, keys, order, weights, suffix)
