@@ -9,7 +9,7 @@ from ..functions.time import elapsed_hmm, gmt_hour
 from ..sources.tables import allow_list_frame, cast_numeric, comment_tree, ranked, to_activity, top_listing
 from .fixtures import ALLOWED, epoch_seconds, event_comments, table, thread_posts
 from .q_history import THREAD_CTES, thread
-from .q_mentions import REFERRAL_FILTER_SQL, referrals_from_events
+from .q_mentions import REFERRAL_CTES, referrals_from_events
 from .registry import query, sql_list
 
 THREAD_COLS = ["comment_id", "link_id", "comment_author", "comment_created_time", "submission_author", "subreddit",
@@ -64,15 +64,12 @@ def q_allowlist_semi(spark, sf_dir):
 
 
 THREE_KEY_SQL = f"""
-WITH r AS ({REFERRAL_FILTER_SQL}),
+WITH {REFERRAL_CTES},
 s AS (SELECT event_id, event_type AS subreddit,
              CASE WHEN user_id % 9 = 0 THEN '[deleted]' ELSE 'u' || CAST(user_id AS VARCHAR) END AS submission_author,
-             value / (value + 10.0) AS classifier_result FROM events),
-rr AS (SELECT b.event_id, b.subreddit, b.submission_author, r.recommend_subreddit
-       FROM r JOIN ({REFERRAL_FILTER_SQL.split('SELECT event_id, subreddit, recommend_subreddit, number_of_r FROM m')[0]}
-                    SELECT event_id, subreddit, submission_author FROM b) b USING (event_id))
-SELECT rr.event_id, rr.recommend_subreddit, round(s.classifier_result, 6) AS classifier_result
-FROM rr JOIN s ON rr.event_id = s.event_id AND rr.subreddit = s.subreddit AND rr.submission_author = s.submission_author
+             value / (value + 10.0) AS classifier_result FROM events)
+SELECT k.event_id, k.recommend_subreddit, round(s.classifier_result, 6) AS classifier_result
+FROM kept k JOIN s ON k.event_id = s.event_id AND k.subreddit = s.subreddit AND k.submission_author = s.submission_author
 """
 
 
