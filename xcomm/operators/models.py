@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import Binarizer, MinMaxScaler
+from pyspark.ml.feature import Binarizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer

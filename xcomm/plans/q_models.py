@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD_TOKEN
 from ..operators.evaluate import grouped_cv, pooled_cv
-from ..operators.folds import author_folds, history_band, mix_hash, stratified_folds
+from ..operators.folds import author_folds, mix_hash, stratified_folds
 from ..operators.metrics import binary_metrics
 from ..operators.models import FEATURES, LABEL, make_model
 from ..operators.select import band_average, band_loop, best_candidate, feature_group_search, fold_means, stepwise

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import elapsed_hmm, gmt_hour
 from ..sources.tables import allow_list_frame, cast_numeric, comment_tree, ranked, to_activity, top_listing
-from .fixtures import ALLOWED, epoch_seconds, event_comments, table, thread_posts
+from .fixtures import ALLOWED, epoch_seconds, table, thread_posts
 from .q_history import THREAD_CTES, thread
 from .q_mentions import REFERRAL_CTES, referrals_from_events
 from .registry import query, sql_list
