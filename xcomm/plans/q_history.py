@@ -178,3 +178,25 @@ def q_asof_bag_cosine_materialised(spark, sf_dir):
     cos = bag_cosine(bag_c, bag_p, "comment_id", "community", "n", out="c")
     return th.select("comment_id").join(cos, "comment_id", "left").select(
         "comment_id", F.round(F.coalesce(F.col("c"), F.lit(0.0)), 6).alias("cosine_similarity_subreddits_list"))
+
+
+@query("asof_hot_actor_counts", f"""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS actor, event_type AS community,
+                  epoch_us(ts) AS t FROM events)
+SELECT event_id, actor, community, t,
+  (SELECT count(*) FROM e h WHERE h.actor = p.actor AND h.t < p.t) AS n_all,
+  (SELECT count(*) FROM e h WHERE h.actor = p.actor AND h.community = p.community AND h.t < p.t) AS n_own
+FROM e p
+""")
+def q_asof_hot_actor_counts(spark, sf_dir):
+    """A1 with a hot actor: every third event is re-assigned to actor -1 (a stand-in for
+    '[deleted]'), so one key holds a third of all rows.  With ``xcomm.scan.maxGroupRows`` below
+    that group's size the two-pass scan splits it over many tasks; the result is the same."""
+    ev = event_activity(spark, sf_dir).withColumn(
+        "actor", F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, F.lit(-1).cast("long")).otherwise(F.col("actor")))
+    hist = ev.select("actor", "community", "t")
+    counts = asof_many(ev, ["event_id"], [
+        dict(history=hist, keys=["actor"], time="t", weights={"n_all": F.lit(1)}),
+        dict(history=hist, keys=["actor", "community"], time="t", weights={"n_own": F.lit(1)}),
+    ])
+    return ev.select("event_id", "actor", "community", "t").join(counts, "event_id")
