@@ -78,3 +78,16 @@ def test_hot_key_above_bound_takes_scan(spark):
     got = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=8, max_group_rows=100)
     assert "MapInPandas" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["id"], r["w_before"]) for r in got.collect()) == brute(rows, ["k"], ["t", "id"], ["w"])
+
+
+def test_hot_key_is_spread_over_many_tasks(spark):
+    """On the scan path a key with 90 % of the rows lands in several range partitions (tasks)."""
+    from pyspark.sql import functions as F
+
+    rows = make_rows(4000, 12, hot_share=0.9)
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    out = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"], num_partitions=8, max_group_rows=0)
+    parts = out.where(F.col("k") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 4
+    exp = brute([r for r in rows], ["k"], ["t", "id"], ["w"])
+    assert sorted((r["id"], r["w_before"]) for r in out.collect()) == exp
