@@ -120,3 +120,21 @@ def test_window_and_scan_paths_agree_on_real_tables(spark):
         spark.conf.unset("xcomm.scan.maxGroupRows")  # default bound: window path here
         window = sorted(tuple(r) for r in qs[name](spark, SF001).collect())
         assert scan == window, name
+
+
+def test_cast_numeric_and_model_save(spark):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.functions import array_to_vector
+
+    from xcomm.operators.models import FEATURES, LABEL, Logistic
+    from xcomm.sources.tables import cast_numeric, save_model
+
+    df = spark.createDataFrame([("12", "a"), ("x", "b"), (None, "c")], "n string, s string")
+    assert [r["n"] for r in cast_numeric(df, ["n"]).orderBy("s").collect()] == [12, None, None]
+    train = spark.createDataFrame([([0.0, 1.0], 1), ([1.0, 0.0], -1), ([0.1, 0.9], 1), ([0.9, 0.2], -1)],
+                                  "x array<double>, y int").select(array_to_vector("x").alias(FEATURES),
+                                                                   F.col("y").alias(LABEL))
+    model = Logistic().fit(train)
+    path = os.path.join(tempfile.mkdtemp(prefix="xcomm-test-"), "model")
+    save_model(model.inner.model, path)
+    assert LogisticRegressionModel.load(path).numFeatures == 2
