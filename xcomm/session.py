@@ -73,18 +73,33 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "xcomm
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only when the session has none.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only when it is
-    unset (local tests) is a fresh private folder under the system temp dir taken.
+    Only a ``local[...]`` master (tests, one machine) gets a private temporary folder when the
+    setting is missing; on a cluster a missing setting is an error, because a folder of one
+    machine would be invisible to the others.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="xcomm-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if sc.getCheckpointDir():
+        return os.path.dirname(sc.getCheckpointDir())
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = id(sc._jsc)
+    if key not in _LOCAL_FOLDER:
+        _LOCAL_FOLDER[key] = tempfile.mkdtemp(prefix="xcomm-shared-")
+    return _LOCAL_FOLDER[key]
+
+
+_LOCAL_FOLDER: dict[int, str] = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``checkpoint()`` at the shared folder unless the session already has a place."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
+    return sc.getCheckpointDir()
