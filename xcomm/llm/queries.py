@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, line_rules, mixing, packing, sharding
+from . import additive_model, cover_tree, deobfuscation, licences, line_rules, mixing, packing, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -43,6 +43,32 @@ def _line_sql() -> str:
         OR ({n} <= {r.BOILERPLATE_WORDS} AND regexp_matches(l, {_rx(r.BOILERPLATE)}))))"""
 
 
+def remainder(key, n: int):
+    """crc32 of the key as text, modulo n."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")), F.lit(n))
+
+
+@query("op1_deobfuscation")
+def op1_deobfuscation(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = deobfuscation.train_toxicity(docs, labels, remainder("doc_id", 5) != 0)
+    scored = deobfuscation.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("row.doc_id", "score", "hits", "n_spans").select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "hits",
+        "n_spans",
+    )
+
+
+@query("op2_cover_tree")
+def op2_cover_tree(spark, sf_dir):
+    linked = cover_tree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return linked.select("row.vec_id", "n_links", "component_id", "kept")
+
+
 OP3_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
@@ -116,6 +142,19 @@ def op5_mixing(spark, sf_dir):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_additive_model")
+def op8_additive_model(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = additive_model.train_quality(docs, labels, remainder("doc_id", 3) != 1)
+    scored = additive_model.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("row.doc_id", "score").select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_licences")
 def op9_licences(spark, sf_dir):
     found = licences.scan_licences(documents(spark, sf_dir))
