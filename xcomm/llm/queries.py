@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_model, cover_tree, deobfuscation, licences, line_rules, mixing, packing, sharding
+from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -142,6 +142,12 @@ def op5_mixing(spark, sf_dir):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, sf_dir):
+    grouped = jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return grouped.select("row.doc_id", "n_shingles", "component_id")
+
+
 @query("op8_additive_model")
 def op8_additive_model(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
