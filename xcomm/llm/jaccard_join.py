@@ -17,6 +17,9 @@ rows for all of its pairs.  Equal sets are one class from the start.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmaps import bit_map, in_map
 from .common import components, staged
 from .cover_tree import spanning_roots
 from .textbytes import LOWER, mix, text_slices, word_hashes
@@ -33,15 +37,16 @@ PERCENT = 90
 #: Sizes of a class of lengths grow by this factor.
 GROWTH = 1.5
 #: Shingles that a segment needs to make a candidate.
-STRONG = 2
+STRONG = 3
+#: A set with few such segments also gives combinations of its first shingles: of so many shingles
+#: each, where sets may differ in so many.
+COMBINED = ((3, 8), (2, 30), (1, 1 << 40))
 #: Shingles that a block holds on average (a longer set is a block of its own).
 BLOCK_SHINGLES = 300_000
-#: Steps from a set's home to the home of that.
-JUMPS = 2
+#: Shingles that a set counts for at least: bounds the sets of a block, too.
+LEAST_WEIGHT = 300
 #: Shingles of one fragment of the verification: bounds its matrices.
 FRAGMENT = 2048
-#: Bits of the map in front of the second pass: 8 MB, whatever the input.
-MAP_BITS = 26
 
 def length_classes(limit: int) -> list[int]:
     """Lower edges of the classes of set sizes, up to beyond ``limit``."""
@@ -57,7 +62,7 @@ _EDGES = np.array(length_classes(1 << 40))
 def _class_shape(k: int, percent: int) -> tuple[int, int]:
     """Most differing shingles and number of fragments for pairs whose smaller set is of class k."""
     most = int(_EDGES[k + 1] - 1) * (100 - percent) // percent
-    return most, int(1.25 * (most + 1)) + 2
+    return most, int(1.4 * (most + 1)) + 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int = WORDS) -> list[np.ndarray]:
@@ -99,8 +104,9 @@ def segment_names(shingles: np.ndarray, percent: int) -> np.ndarray:
 
     The set takes part in the classes of all sizes that a smaller partner may have, its own
     included.  In a class with d differences at most, its segments of ``STRONG`` shingles or more
-    are names; if there are not more than d of these, the set also gives the names of its
-    ``n - ceil(t n) + 1`` first shingles, of which similar sets share one.
+    are names.  If there are not more than d of these, the set also gives all combinations of c of
+    its ``n - ceil(t n) + c`` first shingles, of which similar sets share one; c follows from the
+    size of the smaller set, so a set gives those for all sizes that a partner may have.
     """
     n = len(shingles)
     least = -(-n * percent // 100)
@@ -119,10 +125,24 @@ def segment_names(shingles: np.ndarray, percent: int) -> np.ndarray:
         names.append(mix(sums[strong] + mark[strong]))
         weak = weak or int(strong.sum()) <= most
     if weak:
-        names.append(mix(shingles[: n - least + 1] ^ np.uint64(0x5DEECE66D1CEB00C)))
+        for c in {_combined(least, percent), _combined(n, percent)}:
+            first = shingles[: n - least + c]
+            for picked in [_choices(len(first), c)] if len(first) >= c else []:
+                total = mix(first[picked]).sum(axis=1, dtype=np.uint64)
+                names.append(mix(total ^ np.uint64(0x5DEECE66D1CEB00C + c)))
     return np.concatenate(names).view(np.int64) if names else np.zeros(0, np.int64)
 
 
+def _combined(n: int, percent: int) -> int:
+    differ = n - -(-n * percent // 100)
+    return next(c for c, most in COMBINED if differ <= most)
+
+
+@lru_cache(maxsize=256)
+def _choices(n: int, c: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), c)), np.int64).reshape(-1, c)
+
+
 def describe(docs: DataFrame, text: str, keep: tuple[str, ...], n_words: int, percent: int) -> DataFrame:
     """``row`` (struct of ``keep``), ``n`` (set size), ``cid``, ``cid2`` (names of the set) and
     ``segments``.  Of equal sets in one task only the first lists its segments."""
@@ -161,23 +181,9 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...], n_words: int, pe
     return rows.mapInArrow(work, out)
 
 
-def _wanted_map(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with a bit set for each ``id``: it lets all ids pass, and few others."""
-    bit = F.col("id").bitwiseAND((1 << MAP_BITS) - 1)
-    cells = (
-        ids.select(F.shiftright(bit, 6).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bits"))
-        .groupBy("cell")
-        .agg(F.bit_or("bits").alias("bits"))
-        .toPandas()
-    )
-    table = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    return table.view(np.uint64)
-
-
 def set_table(docs: DataFrame, ids: DataFrame, text: str, n_words: int) -> DataFrame:
     """``cid, n, shingles`` (packed) for the sets named in ``ids`` (column ``id``), one row each."""
-    wanted = _wanted_map(ids)
+    wanted = bit_map(ids)
 
     def work(batches):
         met = set()
@@ -188,8 +194,7 @@ def set_table(docs: DataFrame, ids: DataFrame, text: str, n_words: int) -> DataF
                     if not len(s):
                         continue
                     name = set_names(s)
-                    bit = name[0] & ((1 << MAP_BITS) - 1)
-                    if name in met or not int(wanted[bit >> 6]) >> (bit & 63) & 1:
+                    if name in met or not in_map(wanted, np.array([name[0]]).view(np.uint64))[0]:
                         continue
                     met.add(name)
                     cids.append(name[0])
@@ -252,18 +257,19 @@ def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` that connect all similar sets among those that share a segment in ``met``
     (``segment, cid, least``).
 
-    A set's home is the set that is least in most of its segments, or that set's home, and so on
-    for ``JUMPS`` steps; the sets of a home form blocks of about ``BLOCK_SHINGLES`` shingles."""
+    Sets that segments connect are cut into blocks of about ``BLOCK_SHINGLES`` shingles.  A set's
+    home is the set that is least in most of its segments; sets of one home go to one block, unless
+    they alone exceed it, so most links lie inside blocks."""
     share = met.groupBy("cid", "least").agg(F.count("*").alias("c"))
     home = share.groupBy("cid").agg(F.max(F.struct("c", "least"))["least"].alias("home"))
-    home = staged(home, "jaccard-homes")
-    for _ in range(JUMPS):
-        further = home.select(F.col("cid").alias("at"), F.col("home").alias("next"))
-        home = home.join(further, F.col("home") == F.col("at")).select("cid", F.col("next").alias("home"))
-    sized = staged(home.join(sets.select("cid", "n"), "cid"), "jaccard-homes")
-    load = sized.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    blocks = staged(sized.join(load, "home").select("cid", block.alias("block")), "jaccard-blocks")
+    near = components(share.where("cid <> least"), "cid", "least").withColumnRenamed("node", "cid")
+    weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
+    sized = staged(sets.select("cid", weight.alias("n")).join(home, "cid").join(near, "cid"), "jaccard-homes")
+    parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    large = sized.groupBy("home").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
+    spread = F.when(F.col("large"), F.xxhash64("cid")).otherwise(F.xxhash64("home"))
+    block = F.xxhash64("component", F.pmod(spread, F.col("parts")))
+    blocks = staged(sized.join(parts, "component").join(large, "home").select("cid", block.alias("block")), "jaccard-blocks")
     where = met.join(blocks, "cid").select("segment", "block").distinct()
     pairs = staged(
         where.select("segment", F.col("block").alias("block1"))
