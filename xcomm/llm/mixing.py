@@ -47,7 +47,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("caps", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", (F.col("total") - F.col("caps")) / F.col("open"))
-        .withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("_first", F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level")))
+        .withColumn("water", F.min("_first").over(everything)["level"])
     )
     target = F.least(F.col("cap").cast("double"), F.coalesce("water", "ratio") * F.col("weight"))
     return levelled.select("source", "source_size", target.alias("target"))
