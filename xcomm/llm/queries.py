@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding
+from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding, suffix_dedup
 
 QUERIES = {}
 ORACLE = {}
@@ -124,7 +124,8 @@ w AS (SELECT *, [3, 1, 2][rnk % 3 + 1] AS weight, source_size * 2 AS cap, source
 v AS (SELECT *, (sum(source_size) OVER ()) * 1.5::DOUBLE AS total,
              coalesce(sum(cap) OVER (ORDER BY ratio, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
              sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened FROM w),
-x AS (SELECT *, min(CASE WHEN (total - caps) / opened <= ratio THEN (total - caps) / opened END) OVER () AS water FROM v),
+l AS (SELECT *, (total - caps) / opened AS lvl, row_number() OVER (ORDER BY ratio, rnk) AS k FROM v),
+x AS (SELECT *, (SELECT arg_min(lvl, k) FROM l WHERE lvl <= ratio) AS water FROM l),
 t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(water, ratio) * weight) AS target FROM x),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.doc_id, d.size, u.source_size, u.target, u.whole, u.target - u.whole * u.source_size AS budget,
@@ -142,6 +143,12 @@ def op5_mixing(spark, sf_dir):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, sf_dir):
     grouped = jaccard_join.jaccard_components(documents(spark, sf_dir))
