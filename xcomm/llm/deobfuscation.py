@@ -257,9 +257,9 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["cell", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(text).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells)
-    table[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
+    table[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     table = table.reshape((LETTERS,) * ORDER)
     lower = np.full(LETTERS, 1 / LETTERS)
     for order in range(1, ORDER + 1):
@@ -387,11 +387,11 @@ def train_toxicity(
         df.where(f"a >= {LEAST_TEXTS}").withColumn("z", strength).where("z > 2").orderBy(F.desc("z"), "word").limit(CANDIDATES)
     )
     picked = staged(picked.select("word"), "toxic-words")
-    names = picked.toPandas()["word"].sort_values().to_numpy()
+    names = sorted(picked.toArrow()["word"].to_pylist())
     number = picked.withColumn("k", (F.row_number().over(Window.orderBy("word")) - 1))
-    hits = word.join(F.broadcast(number), "word").select("id", "k").toPandas()
-    ys = bag.select("id", "y").toPandas()
-    base, weight = boost(ys["id"].to_numpy(), ys["y"].to_numpy(np.float64), hits["id"].to_numpy(), hits["k"].to_numpy(), len(names))
+    hits = word.join(F.broadcast(number), "word").select("id", "k").toArrow()
+    ys = bag.select("id", "y").toArrow()
+    base, weight = boost(ys["id"].to_numpy(), ys["y"].to_numpy().astype(np.float64), hits["id"].to_numpy(), hits["k"].to_numpy(), len(names))
     return ToxicityModel(language, base, {names[k].encode(): float(weight[k]) for k in np.flatnonzero(weight)})
 
 
@@ -450,3 +450,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             )
 
     return rows.mapInArrow(score, out)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is under ``threshold``."""
+
+    def keep(batches):
+        restorer, known = Restorer(model.language), model.weights.keys()
+        limit = math.log(threshold / (1 - threshold))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            raw = [model.base + sum(model.weights[w] for w in known & features(body)) for body, _ in restorer.texts(texts)]
+            yield batch.filter(pa.array([r < limit for r in raw], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
