@@ -261,11 +261,12 @@ def train_quality(
             x = text_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    found = sample.select("y", "text").mapInArrow(features, "y int, x array<double>").toPandas()
-    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
+    found = sample.select("y", "text").mapInArrow(features, "y int, x array<double>").toArrow()
+    x = np.array(found["x"].to_pylist()).reshape(len(found), len(FEATURES))
     # the order of rows does not matter but for rounding; a fixed one makes reruns equal
-    order = np.lexsort(np.column_stack([x, found["y"]]).T) if len(found) else []
-    return fit(x[order], found["y"].to_numpy(np.float64)[order])
+    y = found["y"].to_numpy().astype(np.float64)
+    order = np.lexsort(np.column_stack([x, y]).T)
+    return fit(x[order], y[order])
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
