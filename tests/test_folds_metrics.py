@@ -79,3 +79,11 @@ def test_roc_area_matches_spark_evaluator(spark):
     ref = ev.evaluate(df.select(array_to_vector(F.array(-F.col("score"), F.col("score"))).alias("raw"),
                                 F.col("label").cast("double").alias("y")))
     assert abs(ours - ref) < 1e-12
+
+
+def test_author_folds_keep_rows_without_author(spark):
+    rows = [(i, a) for i, a in enumerate(["a", None, "b", None, "c"])]
+    df = spark.createDataFrame(rows, "id long, author string")
+    got = author_folds(df, "author", 2).collect()
+    assert sorted(r["id"] for r in got) == [0, 1, 2, 3, 4]
+    assert len({r["group_number"] for r in got if r["author"] is None}) == 1

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from xcomm.operators.embed import idf_table, minmax_scale, weighted_mean_vectors
-from xcomm.operators.models import MODELS, FEATURES, LABEL, Ridge, SquaredHingeSVM, make_model
+from xcomm.operators.models import MODELS, MixedOnline, FEATURES, LABEL, Ridge, SquaredHingeSVM, make_model
 
 
 def data(spark, n=200, p=4, seed=0):
@@ -49,6 +49,26 @@ def test_every_model_learns(spark):
         assert acc >= floor, (name, acc)
 
 
+def test_online_weights_do_not_depend_on_batches_or_partitions(spark):
+    df, _, _ = data(spark, n=400, seed=5)
+    found = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, parts in (("50", 1), ("10000", 8)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found.append(MixedOnline("sgd", alpha=0.01, l1_ratio=0.15, epochs=4).fit(df.repartition(parts)).w)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.allclose(found[0], found[1], rtol=0, atol=1e-12)
+
+
+def test_empty_vocabulary_gives_zero_vectors(spark):
+    docs = spark.createDataFrame([(1, ["a"]), (2, [])], "id long, toks array<string>")
+    none = spark.createDataFrame([], "word string, vector array<double>").select("word", array_to_vector("vector").alias("vector"))
+    got = weighted_mean_vectors(docs, "id", "toks", none, idf_table(docs, "toks", 1), size=3).collect()
+    assert sorted((r["id"], r["text_vec"].toArray().tolist()) for r in got) == [(1, [0.0] * 3), (2, [0.0] * 3)]
+
+
 def test_minmax_constant_column_is_zero(spark):
     df = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "a array<double>").select(array_to_vector("a").alias("v"))
     got = [r[0] for r in minmax_scale(df, "v").select(vector_to_array("v")).collect()]

@@ -22,7 +22,7 @@ def test_allow_list_files_and_similarity_csv(spark):
     assert sorted(r["name"] for r in read_allow_list(spark, paths).collect()) == ["diet", "keto", "running"]
     csv = os.path.join(d, "sim.csv")
     with open(csv, "w") as fh:
-        fh.write("comment_body,comment_path,comment_id,parent_id,submission_id,Reut_label,comments,"
+        fh.write("comment_body,comment_path,comment_id,parent_id,submission_id,manual_label,comments,"
                  "original_message,parent_body,extra_9,extra_10\n")
         fh.write('"line one\nline ""two""",p,c1,p1,s1,1,x,"orig text","parent text",,\n')
     rows = read_similarity_input(spark, csv).collect()
@@ -85,7 +85,7 @@ def test_pair_similarity_job(spark):
     d = tempfile.mkdtemp(prefix="xcomm-test-")
     src = os.path.join(d, "in.csv")
     with open(src, "w") as fh:
-        fh.write("comment_body,comment_path,comment_id,parent_id,submission_id,Reut_label,comments,"
+        fh.write("comment_body,comment_path,comment_id,parent_id,submission_id,manual_label,comments,"
                  "original_message,parent_body,extra_9,extra_10\n")
         fh.write('"a b b",p,c1,p1,s1,1,x,"a b b","c d",,\n')
         fh.write('"x",p,c2,p1,s1,0,x,,"x",,\n')
@@ -110,18 +110,6 @@ def test_extract_listing_mentions(spark):
     assert sorted((r["comment_id"], r["target"]) for r in got.collect()) == [("c1", "keto"), ("c3", "running!")]
 
 
-def test_window_and_scan_paths_agree_on_real_tables(spark):
-    import __spark_entry__ as E
-
-    qs = E.queries()
-    for name in ["asof_pair_counts", "asof_bag_cosine", "roc_points"]:
-        spark.conf.set("xcomm.scan.maxGroupRows", "0")  # hot-key scan for every key
-        scan = sorted(tuple(r) for r in qs[name](spark, SF001).collect())
-        spark.conf.unset("xcomm.scan.maxGroupRows")  # default bound: window path here
-        window = sorted(tuple(r) for r in qs[name](spark, SF001).collect())
-        assert scan == window, name
-
-
 def test_cast_numeric_and_model_save(spark):
     from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.ml.functions import array_to_vector

@@ -61,7 +61,12 @@ def mention_target(body, marker: str = MARKER, strict: bool = True) -> Column:
     ``STOP_MARKS`` (``strict``); ``strict=False`` uses the earliest mark in both cases.
     """
     b = _col(body)
-    piece = name_piece(b, marker)
+    # the piece is bound once by a lambda, so the many rules below do not copy its expression
+    found = F.transform(F.array(name_piece(b, marker)), lambda piece: _cut_piece(piece, strict))
+    return F.when(F.contains(b, F.lit(marker)), F.element_at(found, 1))
+
+
+def _cut_piece(piece: Column, strict: bool) -> Column:
     earliest = F.regexp_extract(piece, "^[^" + _regex_escape("".join(STOP_MARKS)) + "]*", 0)
     spaced = F.regexp_extract(F.substring_index(piece, " ", 1), "^[^" + _regex_escape("".join(STOP_MARKS)) + "]*", 0)
     if strict:
@@ -72,8 +77,7 @@ def mention_target(body, marker: str = MARKER, strict: bool = True) -> Column:
         no_space = chain.otherwise(piece)
     else:
         no_space = earliest
-    out = F.when(F.instr(piece, " ") > 0, spaced).otherwise(no_space)
-    return F.when(F.instr(b, marker) > 0, out)
+    return F.when(F.instr(piece, " ") > 0, spaced).otherwise(no_space)
 
 
 def mention_target_simple(body, marker: str = MARKER) -> Column:

@@ -36,7 +36,7 @@ def author_folds(df: DataFrame, author: str, k: int, out: str = "group_number")
     """Contiguous author-disjoint folds.
 
     Rows are taken in author order (so a run of rows is one author).  Fold i takes whole authors
-    until it holds at least n/k rows; the next author opens fold i+1.  Plan:
+    until it holds at least n/k rows; the next author opens fold i+1.  Rows without an author are the first run.  Plan:
     per-author counts (map-side combined) → global exclusive prefix sum of the counts in author
     order (skew-proof scan, no single-partition window) → at most k "next start" steps, each a
     ``min`` over the author table → fold of an author = number of fold starts at or before its
@@ -55,8 +55,8 @@ def author_folds(df: DataFrame, author: str, k: int, out: str = "group_number")
             break
         starts.append(int(nxt))
     fold = sum((F.when(F.col("__xc_start") >= F.lit(s), 1).otherwise(0) for s in starts), F.lit(0)) - F.lit(1)
-    folds = offsets.select(author, fold.cast("int").alias(out))
-    return df.join(folds, author, "inner")
+    folds = offsets.select(F.col(author).alias("__xc_author"), fold.cast("int").alias(out))
+    return df.join(folds, F.col(author).eqNullSafe(F.col("__xc_author"))).drop("__xc_author")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, out: str = "fold") -> DataFrame:

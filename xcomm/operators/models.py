@@ -21,6 +21,7 @@ Not provided: exact k-nearest-neighbours (C4) — it needs every test × train d
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -208,6 +209,10 @@ class NearestCentroid:
 # ---- squared-hinge SVM by active-set Newton (C7, C8, C15) --------------------------------------------
 
 
+#: Partial matrices that reach the driver from one pass, whatever the number of partitions.
+GRAM_SUMS = 8
+
+
 def _gram_pass(train: DataFrame, w: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray, int]:
     """One distributed pass: Σ loss², Gram matrix and Xᵀy over the active rows (y·f < 1)."""
     wb = w.tolist()
@@ -234,7 +239,13 @@ def _gram_pass(train: DataFrame, w: np.ndarray, p: int) -> tuple[float, np.ndarr
             na += int(act.sum())
         yield pd.DataFrame({"loss": [loss], "g": [G.ravel().tolist()], "r": [r.tolist()], "na": [na]})
 
-    rows = train.mapInPandas(part, schema).collect()
+    def add(pdf):
+        return pd.DataFrame({"loss": [pdf["loss"].sum()], "g": [np.sum(pdf["g"].to_list(), axis=0).tolist()],
+                             "r": [np.sum(pdf["r"].to_list(), axis=0).tolist()], "na": [int(pdf["na"].sum())]})
+
+    # partial matrices meet on the executors first; at most GRAM_SUMS of them reach the driver
+    sums = train.mapInPandas(part, schema).withColumn("__xc_b", F.pmod(F.spark_partition_id(), F.lit(GRAM_SUMS)))
+    rows = sums.groupBy("__xc_b").applyInPandas(lambda pdf: add(pdf), schema).collect()
     loss = sum(x["loss"] for x in rows)
     G = sum(np.asarray(x["g"]).reshape(p + 1, p + 1) for x in rows)
     r = sum(np.asarray(x["r"]) for x in rows)
@@ -294,77 +305,95 @@ class SquaredHingeSVM:
             else:
                 cand = _lasso_quadratic(Q, q, 1.0, w)
             step = 1.0
-            while True:
+            while step >= 1e-4:
                 trial = w + step * (cand - w)
                 t_loss, t_G, t_r, _ = _gram_pass(data, trial, p)
                 t_obj = self._objective(trial, t_loss)
-                if t_obj <= obj or step < 1e-4:
+                if t_obj <= obj:
                     break
                 step /= 2
+            else:  # no step along this direction helps: w is kept
+                return LinearModel(w)
             done = abs(obj - t_obj) <= self.tol * max(abs(obj), 1.0)
             w, obj, G, r = trial, t_obj, t_G, t_r
             if done:
-                break
+                return LinearModel(w)
+        warnings.warn(f"squared hinge SVM: no convergence in {self.max_passes} passes", stacklevel=2)
         return LinearModel(w)
 
 
 # ---- online learners by iterative parameter mixing (C2, C3, C10, C11) ------------------------------
 
 
+#: Shards of the online learners: fixed, so a result does not depend on partitions or batches.
+SHARDS = 8
+
+
 class MixedOnline:
     """Perceptron (C2), passive-aggressive hinge (C3) and SGD hinge with L1 (C10) or elastic-net
-    (C11) penalty, trained by iterative parameter mixing (McDonald, Hall & Mann, 2010)."""
+    (C11) penalty, trained by iterative parameter mixing (McDonald, Hall & Mann, 2010): rows are
+    dealt to ``SHARDS`` shards by a hash of their values, each epoch passes every shard once from
+    the common weights, and the shards' weights are averaged by their rows."""
 
     def __init__(self, rule: str = "perceptron", alpha: float = 1e-4, l1_ratio: float = 0.15, C: float = 1.0,
-                 epochs: int = 5, seed: int = 42):
+                 epochs: int = 50, seed: int = 42):
         self.rule, self.alpha, self.l1_ratio, self.C, self.epochs, self.seed = rule, alpha, l1_ratio, C, epochs, seed
 
     def fit(self, train: DataFrame) -> LinearModel:
         p = _n_features(train)
-        data = train.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).cast("double").alias("y"),
-                            F.xxhash64(F.lit(self.seed), vector_to_array(FEATURES).cast("string")).alias("o"))
-        data = data.sortWithinPartitions("o")
-        w = np.zeros(p + 1)
-        rule, alpha, l1r, C = self.rule, self.alpha, self.l1_ratio, self.C
-        schema = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
-        for epoch in range(self.epochs):
-            wb = w.tolist()
-            t0 = epoch
-
-            def part(batches, wb=wb, t0=t0):
-                wv = np.asarray(wb)
-                n = 0
-                for pdf in batches:
-                    if len(pdf) == 0:
-                        continue
-                    X = np.vstack(pdf["x"].to_numpy())
-                    X = np.hstack([X, np.ones((len(X), 1))])
-                    y = pdf["y"].to_numpy(dtype=float)
-                    for i in range(len(y)):
-                        xi, yi = X[i], y[i]
-                        f = float(xi @ wv)
-                        if rule == "perceptron":
-                            if yi * f <= 0:
-                                wv = wv + yi * xi
-                        elif rule == "passive_aggressive":
-                            loss = max(0.0, 1.0 - yi * f)
-                            if loss > 0:
-                                wv = wv + min(C, loss / (float(xi @ xi))) * yi * xi
-                        else:  # sgd hinge with l1 / elasticnet shrink
-                            eta = 1.0 / (alpha * (1.0 / alpha + t0 * len(y) + i + 1))
-                            wv = wv * (1.0 - eta * alpha * (1.0 - l1r))
-                            if yi * f < 1:
-                                wv = wv + eta * yi * xi
-                            shrink = eta * alpha * l1r
-                            wv[:-1] = np.sign(wv[:-1]) * np.maximum(np.abs(wv[:-1]) - shrink, 0.0)
-                    n += len(y)
-                yield pd.DataFrame({"w": [wv.tolist()], "n": [n]})
-
-            rows = [r for r in data.mapInPandas(part, schema).collect() if r["n"] > 0]
-            tot = sum(r["n"] for r in rows)
-            w = sum(np.asarray(r["w"]) * r["n"] for r in rows) / max(tot, 1)
+        hashed = F.xxhash64(F.lit(self.seed), vector_to_array(FEATURES).cast("string"), F.col(LABEL))
+        data = train.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).cast("double").alias("y"), hashed.alias("o"))
+        data = data.withColumn("s", F.pmod(F.xxhash64("o"), F.lit(SHARDS)).cast("int"))
+        data = data.repartition(SHARDS, "s").sortWithinPartitions("s", "o", "y").persist(StorageLevel.MEMORY_AND_DISK)
+        w, rows_of = np.zeros(p + 1), {}
+        try:
+            for epoch in range(self.epochs):
+                step = self._epoch(w.tolist(), epoch, rows_of)
+                rows = data.mapInPandas(step, "s int, w array<double>, n long").collect()
+                rows_of = {r["s"]: r["n"] for r in rows}
+                total = sum(rows_of.values())
+                if not total:
+                    break
+                w = sum(np.asarray(r["w"]) * r["n"] for r in sorted(rows, key=lambda r: r["s"])) / total
+        finally:
+            data.unpersist()
         return LinearModel(w)
 
+    def _epoch(self, start: list[float], epoch: int, rows_of: dict[int, int]):
+        rule, alpha, l1r, C = self.rule, self.alpha, self.l1_ratio, self.C
+
+        def update(w, xi, yi, t):
+            f = float(xi @ w)
+            if rule == "perceptron":
+                return w + yi * xi if yi * f <= 0 else w
+            if rule == "passive_aggressive":
+                loss = max(0.0, 1.0 - yi * f)
+                return w + min(C, loss / float(xi @ xi)) * yi * xi if loss > 0 else w
+            eta = 1.0 / (alpha * (1.0 / alpha + t))
+            w = w * (1.0 - eta * alpha * (1.0 - l1r))
+            if yi * f < 1:
+                w = w + eta * yi * xi
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - eta * alpha * l1r, 0.0)
+            return w
+
+        def run(batches):
+            states: dict[int, tuple[np.ndarray, int]] = {}
+            for pdf in batches:
+                for shard, part in pdf.groupby("s", sort=False):
+                    w, n = states.get(shard, (np.asarray(start), 0))
+                    X = np.hstack([np.vstack(part["x"].to_numpy()), np.ones((len(part), 1))])
+                    # the step counter runs on over batches and epochs
+                    for xi, yi in zip(X, part["y"].to_numpy(dtype=float)):
+                        n += 1
+                        w = update(w, xi, yi, epoch * rows_of.get(int(shard), 0) + n)
+                    states[shard] = (w, n)
+            if not states:
+                return
+            yield pd.DataFrame({"s": [int(k) for k in states], "w": [w.tolist() for w, _ in states.values()],
+                                "n": [n for _, n in states.values()]})
+
+        return run
+
 
 # ---- RBF kernel SVM via random Fourier features (C6) -------------------------------------------
 
@@ -408,7 +437,7 @@ class RBFSVM:
         b = rng.uniform(0, 2 * np.pi, size=self.D)
         n = train.count()
         z = _rff(train, W, b).drop("__xc_rff", "__xc_orig").persist(StorageLevel.MEMORY_AND_DISK)
-        inner = HingeSVM(alpha=1.0 / (self.C * max(n, 1)), max_iter=50).fit(z)
+        inner = HingeSVM(alpha=1.0 / (self.C * max(n, 1)), max_iter=200).fit(z)
         z.unpersist()
         return RFFModel(W, b, inner)
 

@@ -1,275 +1,81 @@
-"""Skew-proof keyed running sums (distributed exclusive scan).
-
-``Window.partitionBy(key).orderBy(t)`` puts every row of a key into one task, so a key that holds a
-third of all rows becomes a single straggler.  This operator gives the same numbers without that
-limit, by the classic two-pass parallel scan:
-
-1. range-partition the rows on ``(keys, order, tiebreak)``.  Bounds come from a sample, so a hot key
-   spreads over many partitions; the tiebreak (a hash of the whole row) splits even equal times;
-2. pass 1: every partition reports its first and last key and the weight totals of those two key
-   runs — two small rows per partition, collected on the driver (size = 2 x partitions);
-3. the driver chains the totals of a key across the consecutive partitions it spans into a carry-in
-   per partition (only keys that cross a partition edge need one);
-4. pass 2: every partition computes its own running sums (numpy, vectorised per Arrow batch) and
-   adds the carry-in to its first key run.
-
-The range-partitioned, sorted rows are checkpointed (reliably, into the session's checkpoint
-folder) between the passes: both passes then read the very same partitions, whatever happens to
-caches or executors in between — a recomputation could otherwise re-sample different bounds.
+"""Keyed running sums without a task per key.
+
+``Window.partitionBy(key).orderBy(t)`` over rows puts every row of a key into one task.  Here rows
+are first summed per (key, order value), so ties and repeated rows collapse on the map side.  Then
+the order is cut into levels, from coarse to fine (64-bit integers by their upper 32, 48 and all
+bits, texts by growing prefixes, floating numbers by magnitude): a level's window runs inside one
+value of the level above, over one row per value of its own.  The sum before a row is the sum of
+what stands before it at each level.  Everything is native and lazy, exact for all 64-bit values
+and the same at every size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-
-_TIEBREAK = "__xc_tiebreak"
-_PID = "__xc_pid"
-
-# Persisted stage DataFrames, so a long-lived session can release them (``release_staged``).
-_STAGED: list[DataFrame] = []
-
-
-def release_staged() -> None:
-    while _STAGED:
-        _STAGED.pop().unpersist(blocking=False)
-
-
-def _same_as_prev(cols: list[np.ndarray], first_ref: tuple | None) -> np.ndarray:
-    """same[i] = row i has the same key as row i-1 (row 0 is compared with ``first_ref``)."""
-    n = len(cols[0])
-    same = np.ones(n, dtype=bool)
-    for j, arr in enumerate(cols):
-        na = pd.isna(arr)
-        if n > 1:
-            eq = arr[1:] == arr[:-1]
-            eq = np.asarray(eq, dtype=bool) | (na[1:] & na[:-1])
-            same[1:] &= eq
-        if first_ref is None:
-            same[0] = False
-        else:
-            ref = first_ref[j]
-            ref_na = ref is None or (isinstance(ref, float) and np.isnan(ref))
-            same[0] &= bool(na[0] and ref_na) or (not na[0] and not ref_na and arr[0] == ref)
-    return same
-
-
-def _key_at(cols: list[np.ndarray], i: int) -> tuple:
-    out = []
-    for arr in cols:
-        v = arr[i]
-        if pd.isna(v):
-            v = None
-        elif isinstance(v, np.generic):
-            v = v.item()
-        out.append(v)
-    return tuple(out)
-
-
-def _weight_matrix(pdf: pd.DataFrame, weights: list[str], dtypes: list[np.dtype]) -> np.ndarray:
-    return np.column_stack([pdf[w].fillna(0).to_numpy(dtype=dt) for w, dt in zip(weights, dtypes)])
+_LEVEL = "__xc_level"
+_LONGS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+#: Prefix lengths at which a text order is cut.
+_PREFIXES = (2, 4, 8, 12)
 
 
-# Largest key group (rows) that may be handled by one window task.  A key above it takes the
-# two-pass scan.  Overridable per session with ``spark.conf.set("xcomm.scan.maxGroupRows", n)``.
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
+def _levels(df: DataFrame, col: str) -> list[Column]:
+    """Monotone, coarser and coarser images of an order column (coarsest first)."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, _LONGS):
+        return [F.shiftright(c.cast("long"), 32), F.shiftright(c.cast("long"), 16)]
+    if isinstance(kind, T.StringType):
+        return [F.substring(c, 1, n) for n in _PREFIXES]
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        size = F.signum(c) * F.log1p(F.abs(c))
+        return [F.floor(size * 256), F.floor(size * 65536)]
+    return []
 
 
 def keyed_exclusive_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    weights: list[str],
-    suffix: str = "_before",
-    num_partitions: int | None = None,
-    max_group_rows: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str], weights: list[str], suffix: str = "_before", rows: Column | None = None
 ) -> DataFrame:
     """For every row add ``<w><suffix>`` = sum of ``w`` over rows with the same ``keys`` that sort
-    strictly earlier by ``order``.  Rows equal on ``keys + order`` are summed in an arbitrary
-    order among themselves, so callers put a discriminating column last in ``order`` (for as-of
-    lookups: probes with tag 0 before history rows with tag 1 at the same time).
+    strictly earlier by ``order``; rows equal on ``keys + order`` get the same sum.
 
-    Weights must be integral or floating columns; nulls count as 0.  Key nulls form their own key.
-
-    Strategy: one aggregation measures the largest key group.  When it is at most
-    ``max_group_rows`` the sums come from a native window (ROWS frame, JVM, codegen; no group is
-    larger than the bound, so no task is).  Otherwise the two-pass range-partitioned scan below
-    splits even the hottest key over many tasks.
+    Weights must be integral or floating columns; nulls count as 0.  A null key is a key of its
+    own; nulls in the order sort first.  ``rows`` restricts which rows are returned (all count).
     """
-    spark = df.sparkSession
-    if max_group_rows is None:
-        max_group_rows = int(spark.conf.get("xcomm.scan.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
-    if max_group_rows > 0:
-        if spark.conf.get("xcomm.scan.persistInput", "false") == "true":
-            # optional: the size check and the window read one cached copy instead of recomputing
-            # the input (measured slower when the input is a scan or a cheap join)
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            _STAGED.append(df)
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= max_group_rows:
-            return _window_exclusive_sum(df, keys, order, weights, suffix)
-    return _scan_exclusive_sum(df, keys, order, weights, suffix, num_partitions)
-
-
-def _window_exclusive_sum(df, keys, order, weights, suffix):
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df
-    for c in weights:
-        dt = df.schema[c].dataType
-        zero = F.lit(0).cast("long") if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else F.lit(0.0)
-        val = F.coalesce(F.col(c), zero)
-        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.sum(val).over(w), zero))
-    return out
-
-
-def _scan_exclusive_sum(df, keys, order, weights, suffix, num_partitions):
-    spark = df.sparkSession
-    n_parts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    schema = df.schema
-    is_int = [isinstance(schema[w].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for w in weights]
-    np_types = [np.int64 if i else np.float64 for i in is_int]
-    w_types = [T.LongType() if i else T.DoubleType() for i in is_int]
-
-    sort_cols = [*keys, *order, _TIEBREAK]
-    staged = (
-        df.withColumn(_TIEBREAK, F.xxhash64(*[F.col(c) for c in df.columns]))
-        .repartitionByRange(n_parts, *sort_cols)
-        .sortWithinPartitions(*sort_cols)
-        # the range partition of every row, fixed before caching: task partition ids are not
-        # reliable once the output is unioned or otherwise re-numbered downstream
-        .withColumn(_PID, F.spark_partition_id())
-    )
-    ensure_checkpoint_dir(spark)
-    staged = staged.checkpoint(eager=True)
-
-    # ---- pass 1: first / last key run of every partition ---------------------------------------
-    summary_fields = [T.StructField("pid", T.IntegerType()), T.StructField("single", T.BooleanType())]
-    for k in keys:
-        summary_fields.append(T.StructField(f"fk_{k}", schema[k].dataType))
-    for k in keys:
-        summary_fields.append(T.StructField(f"lk_{k}", schema[k].dataType))
-    for w, wt in zip(weights, w_types):
-        summary_fields.append(T.StructField(f"ft_{w}", wt))
-    for w, wt in zip(weights, w_types):
-        summary_fields.append(T.StructField(f"lt_{w}", wt))
-    summary_schema = T.StructType(summary_fields)
-
-    def summarise(batches):
-        first_key = first_tot = None  # first run of the partition and its total once closed
-        cur_key = cur_tot = None  # the run still open at the end of the batches seen so far
-        n_runs = 0
-        pid = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pid = int(pdf[_PID].iloc[0])
-            cols = [pdf[k].to_numpy() for k in keys]
-            W = _weight_matrix(pdf, weights, np_types)
-            starts = np.flatnonzero(~_same_as_prev(cols, cur_key))
-            if len(starts) == 0:
-                cur_tot = cur_tot + W.sum(axis=0)
-                continue
-            if cur_key is not None:  # the open run closes at starts[0]
-                cur_tot = cur_tot + W[: starts[0]].sum(axis=0)
-                n_runs += 1
-                if first_tot is None:
-                    first_tot = cur_tot
-            else:
-                first_key = _key_at(cols, starts[0])
-            segs = np.add.reduceat(W, starts, axis=0)
-            if first_tot is None and len(starts) > 1:
-                first_tot = segs[0]
-            n_runs += len(starts) - 1
-            cur_key, cur_tot = _key_at(cols, starts[-1]), segs[-1]
-        if cur_key is None:
-            return
-        n_runs += 1
-        if first_tot is None:
-            first_tot = cur_tot
-        row = {"pid": pid, "single": n_runs == 1}
-        for k, v in zip(keys, first_key):
-            row[f"fk_{k}"] = v
-        for k, v in zip(keys, cur_key):
-            row[f"lk_{k}"] = v
-        for j, w in enumerate(weights):
-            row[f"ft_{w}"] = first_tot[j].item()
-            row[f"lt_{w}"] = cur_tot[j].item()
-        yield pd.DataFrame([row], columns=[f.name for f in summary_fields])
-
-    summaries = sorted(staged.mapInPandas(summarise, summary_schema).collect(), key=lambda r: r["pid"])
-
-    # ---- driver: carry-in per partition (O(partitions)) ----------------------------------------
-    carry: dict[int, tuple[tuple, list]] = {}
-    prev_key, prev_tot = None, None
-    for r in summaries:
-        fk = tuple(r[f"fk_{k}"] for k in keys)
-        lk = tuple(r[f"lk_{k}"] for k in keys)
-        ft = [r[f"ft_{w}"] for w in weights]
-        lt = [r[f"lt_{w}"] for w in weights]
-        c = list(prev_tot) if (prev_tot is not None and prev_key == fk) else [0] * len(weights)
-        if any(c):
-            carry[r["pid"]] = (fk, c)
-        if r["single"]:
-            prev_tot = [a + b for a, b in zip(c, ft)]
+    spine = [*keys, *order]
+    totals = df.groupBy(*spine).agg(*[F.sum(F.coalesce(F.col(w), F.lit(0))).alias(w) for w in weights])
+    cuts = [f"{_LEVEL}{i}" for i, _ in enumerate(_levels(df, order[0]))]
+    totals = totals.withColumns(dict(zip(cuts, _levels(df, order[0]), strict=True)))
+    before = [f"{w}{suffix}" for w in weights]
+
+    def running(table: DataFrame, inside: list[str], by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*inside).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumns({b: F.coalesce(F.sum(x).over(w), F.lit(0)) for b, x in zip(before, weights, strict=True)})
+
+    carry = None
+    for depth in range(len(cuts) + 1):
+        inside = [*keys, *cuts[:depth]]
+        if depth < len(cuts):
+            here = totals.groupBy(*inside, cuts[depth]).agg(*[F.sum(w).alias(w) for w in weights])
+            here = running(here, inside, [cuts[depth]]).drop(*weights)
+            own = [*inside, cuts[depth]]
         else:
-            prev_tot = lt
-        prev_key = lk
-
-    # ---- pass 2: running sums inside each partition plus its carry-in ---------------------------
-    out_schema = T.StructType(
-        [f for f in staged.schema.fields if f.name not in (_TIEBREAK, _PID)]
-        + [T.StructField(f"{w}{suffix}", wt) for w, wt in zip(weights, w_types)]
-    )
-    out_names = [f.name for f in out_schema.fields]
-
-    def scan(batches):
-        pid = None
-        prev_key = None
-        prev_run = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            batch_pid = int(pdf[_PID].iloc[0])
-            if batch_pid != pid:  # a new range partition starts: take its carry-in
-                pid, prev_key, prev_run = batch_pid, None, None
-                if pid in carry:
-                    prev_key, c = carry[pid]
-                    prev_run = np.array(c, dtype=np.float64 if not all(is_int) else np.int64)
-            cols = [pdf[k].to_numpy() for k in keys]
-            W = _weight_matrix(pdf, weights, np_types)
-            same = _same_as_prev(cols, prev_key)
-            cs = np.cumsum(W, axis=0)
-            starts = np.flatnonzero(~same)
-            # base[i] = cumulative sum just before the start of row i's run
-            base = np.zeros_like(cs)
-            if len(starts):
-                run_id = np.cumsum(~same) - 1  # -1 for rows continuing the previous batch's run
-                before_start = np.where(starts > 0, starts - 1, 0)
-                start_base = np.where((starts > 0)[:, None], cs[before_start], 0)
-                idx = np.clip(run_id, 0, None)
-                base = np.where((run_id >= 0)[:, None], start_base[idx], 0)
-            else:
-                run_id = np.full(len(pdf), -1)
-            excl = cs - base - W
-            if prev_run is not None:
-                cont = run_id < 0
-                excl[cont] += prev_run.astype(excl.dtype)
-            # carry the open run into the next batch
-            last_run_start = starts[-1] if len(starts) else 0
-            if len(starts) == 0 and prev_run is not None:
-                prev_run = prev_run + W.sum(axis=0)
-            else:
-                prev_run = W[last_run_start:].sum(axis=0)
-            prev_key = _key_at(cols, len(pdf) - 1)
-            out = pdf.drop(columns=[_TIEBREAK, _PID])
-            for j, w in enumerate(weights):
-                out[f"{w}{suffix}"] = excl[:, j].astype(np_types[j])
-            yield out[out_names]
-
-    return staged.mapInPandas(scan, out_schema)
+            here, own = running(totals, inside, order).drop(*weights), [*spine, *cuts]
+        if carry is not None:
+            here = _join(here, carry, inside, before)
+        carry = here.select(*own, *before)
+    kept = df if rows is None else df.where(rows)
+    return _join(kept, carry.drop(*cuts), spine, before, replace=True)
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], sums: list[str], replace: bool = False) -> DataFrame:
+    """``left`` with the sums of ``right`` added to its own (or taken over); null keys are equal."""
+    mark = "__xc_r_"
+    right = right.select(*[F.col(c).alias(mark + c) for c in [*on, *sums]])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(mark + c))
+    joined = left.join(right, match)
+    values = {s: F.col(mark + s) if replace else F.col(s) + F.col(mark + s) for s in sums}
+    return joined.withColumns(values).drop(*[mark + c for c in [*on, *sums]])

@@ -14,16 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BOT_SENTENCE, EDIT_WORD, MARKER, mention_target_simple
-from ..operators.similarity import text_pair_cosine
+from ..operators.similarity import with_text_cosine
 from ..sources.tables import comment_tree, read_similarity_input, save_table, top_listing
 
 
-def pair_similarity(df: DataFrame, id_col: str = "comment_id") -> DataFrame:
+def pair_similarity(df: DataFrame) -> DataFrame:
     """Adds ``parent_similarity`` (body vs parent body) and ``original_similarity`` (body vs original
-    message); rows are keyed by ``id_col``."""
-    parent = text_pair_cosine(df, id_col, "comment_body", "parent_body", out="parent_similarity")
-    original = text_pair_cosine(df, id_col, "comment_body", "original_message", out="original_similarity")
-    return df.join(parent, id_col, "left").join(original, id_col, "left")
+    message) to every row; ids may repeat or be missing."""
+    df = with_text_cosine(df, "comment_body", "parent_body", out="parent_similarity")
+    return with_text_cosine(df, "comment_body", "original_message", out="original_similarity")
 
 
 def pair_similarity_job(spark: SparkSession, in_path: str, out_path: str, fmt: str = "csv") -> DataFrame:

@@ -190,8 +190,8 @@ FROM e p
 """)
 def q_asof_hot_actor_counts(spark, sf_dir):
     """A1 with a hot actor: every third event is re-assigned to actor -1 (a stand-in for
-    '[deleted]'), so one key holds a third of all rows.  With ``xcomm.scan.maxGroupRows`` below
-    that group's size the two-pass scan splits it over many tasks; the result is the same."""
+    '[deleted]'), so one key holds a third of all rows.  Windows run inside
+    (key, part of the time axis), so the group is cut over tasks."""
     ev = event_activity(spark, sf_dir).withColumn(
         "actor", F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, F.lit(-1).cast("long")).otherwise(F.col("actor")))
     hist = ev.select("actor", "community", "t")

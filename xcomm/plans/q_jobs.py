@@ -64,6 +64,6 @@ def q_reply_similarity(spark, sf_dir):
     x = c.where(F.col("turn") > 0).select("conv_id", "turn", F.col("text").alias("comment_body")) \
         .join(parent, ["conv_id", "turn"]).join(first, "conv_id") \
         .withColumn("pair_id", F.struct("conv_id", "turn"))
-    sims = pair_similarity(x, "pair_id")
+    sims = pair_similarity(x)
     return sims.select("conv_id", "turn", F.round("parent_similarity", 6).alias("parent_similarity"),
                        F.round("original_similarity", 6).alias("original_similarity"))

@@ -60,7 +60,7 @@ def q_allowlist_semi(spark, sf_dir):
     """Membership in an allow-list table as a left-semi join (the list is a small table)."""
     e = table(spark, sf_dir, "events")
     allow = allow_list_frame(spark, ALLOWED).withColumnRenamed("name", "event_type")
-    return e.join(F.broadcast(allow), "event_type", "left_semi").select("event_id", "event_type")
+    return e.join(allow, "event_type", "left_semi").select("event_id", "event_type")
 
 
 THREE_KEY_SQL = f"""

@@ -45,7 +45,7 @@ ACTIVITY_SCHEMA = T.StructType([
 
 # The 11 positional columns of the pair-similarity input (S5); the similarity uses 0, 7 and 8.
 SIMILARITY_INPUT_COLUMNS = ["comment_body", "comment_path", "comment_id", "parent_id", "submission_id",
-                            "Reut_label", "comments", "original_message", "parent_body", "extra_9", "extra_10"]
+                            "manual_label", "comments", "original_message", "parent_body", "extra_9", "extra_10"]
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
@@ -121,11 +121,10 @@ def comment_tree(comments: DataFrame, listing: DataFrame, key: str = "submission
 
 def pending_cells(spark: SparkSession, cells: DataFrame, done_path: str, keys: list[str]) -> DataFrame:
     """Cells of a search grid whose results are not yet written (resume = anti-join on the keys)."""
-    try:
-        done = spark.read.parquet(done_path).select(*keys)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return cells
-    return cells.join(done, keys, "left_anti")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return cells  # nothing written yet; any other trouble with the path is an error
+    return cells.join(spark.read.parquet(done_path).select(*keys), keys, "left_anti")
 
 
 def append_cell(df: DataFrame, done_path: str) -> None:
