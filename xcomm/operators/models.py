@@ -206,6 +206,57 @@ class NearestCentroid:
         return CentroidModel({r[LABEL]: r["m"].toArray().tolist() for r in rows})
 
 
+# ---- k nearest neighbours (C4) -----------------------------------------------------------------------
+
+#: Labelled rows that the neighbour model holds at most: one matrix, shipped once to every task.
+KNN_ROWS = 20_000
+
+
+@dataclass
+class NeighborModel:
+    X: np.ndarray
+    y: np.ndarray
+    k: int
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        X, y, k = self.X, self.y, self.k
+        squares = (X * X).sum(axis=1)
+
+        @F.pandas_udf(T.IntegerType())
+        def vote(rows: pd.Series) -> pd.Series:
+            out = []
+            for lo in range(0, len(rows), 256):
+                Z = np.vstack(rows.iloc[lo:lo + 256].to_numpy())
+                d = squares[None, :] - 2 * Z @ X.T + (Z * Z).sum(axis=1)[:, None]
+                m = min(k, len(y))
+                near = np.argpartition(d, m - 1, axis=1)[:, :m]
+                out.append(np.where(y[near].sum(axis=1) > 0, 1, -1))
+            return pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="int32")
+
+        return df.withColumn("prediction", vote(vector_to_array(FEATURES)))
+
+
+class KNeighbors:
+    """C4: majority of the ``k`` nearest labelled rows (Euclidean; a tie is the lower label).
+
+    The labelled rows are one bounded matrix in every task, so prediction is a scan without a
+    join.  Beyond ``rows`` labelled rows a sample by hash is kept, with a warning."""
+
+    def __init__(self, k: int = 10, rows: int = KNN_ROWS, seed: int = 42):
+        self.k, self.rows, self.seed = k, rows, seed
+
+    def fit(self, train: DataFrame) -> NeighborModel:
+        total = train.count()
+        x = vector_to_array(FEATURES)
+        data = train.select(x.alias("x"), F.col(LABEL).cast("int").alias("y"))
+        if total > self.rows:
+            warnings.warn(f"k neighbours: {total} labelled rows, {self.rows} are kept", stacklevel=2)
+            chance = F.pmod(F.xxhash64(F.lit(self.seed), F.col("x").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+            data = data.where(chance < self.rows / total)
+        rows = data.collect()
+        return NeighborModel(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows]), self.k)
+
+
 # ---- squared-hinge SVM by active-set Newton (C7, C8, C15) --------------------------------------------
 
 
@@ -448,6 +499,7 @@ MODELS = {
     "RidgeClassifier": lambda: Ridge(alpha=1.0),
     "Perceptron": lambda: MixedOnline("perceptron"),
     "PassiveAggressive": lambda: MixedOnline("passive_aggressive", C=1.0),
+    "KNeighbors": lambda: KNeighbors(k=10),
     "RandomForest": lambda: Forest(num_trees=10),
     "SVC_rbf": lambda: RBFSVM(C=1e-8),
     "LinearSVC_l1": lambda: SquaredHingeSVM(penalty="l1"),

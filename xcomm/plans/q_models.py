@@ -58,6 +58,7 @@ CV_MODELS = {
     "cv_ridge": "RidgeClassifier",
     "cv_perceptron": "Perceptron",
     "cv_passive_aggressive": "PassiveAggressive",
+    "cv_knn": "KNeighbors",
     "cv_forest": "RandomForest",
     "cv_rbf_svm": "SVC_rbf",
     "cv_svm_sqhinge_l1": "LinearSVC_l1",
