@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,24 @@ from pyspark.sql import functions as F
 MAP_BITS = 26
 
 
-def bit_map(ids: DataFrame) -> np.ndarray:
+class BitMap:
+    """A map that travels compressed to the tasks: an almost empty one costs next to nothing."""
+
+    def __init__(self, words: np.ndarray):
+        self.packed, self.words = zlib.compress(words.tobytes(), 1), words
+
+    def __getstate__(self):
+        return {"packed": self.packed, "words": None}
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        """Whether the bits of ``ids`` (uint64) are set."""
+        if self.words is None:
+            self.words = np.frombuffer(zlib.decompress(self.packed), np.uint64)
+        bit = ids & np.uint64((1 << MAP_BITS) - 1)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_map(ids: DataFrame) -> BitMap:
     """The map of the 64-bit ids in column ``id``; at most 2**20 words reach the driver."""
     bit = F.col("id").bitwiseAND((1 << MAP_BITS) - 1)
     word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
@@ -22,10 +42,25 @@ def bit_map(ids: DataFrame) -> np.ndarray:
     )
     table = np.zeros(1 << (MAP_BITS - 6), np.int64)
     table[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
-    return table.view(np.uint64)
+    return BitMap(table.view(np.uint64))
+
+
+def without_ids(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among the ids in column ``gone`` of ``gone``.
+
+    Rows whose bit is not set pass without a shuffle; the others, the ids that go and few more,
+    are held against the list by an anti-join.  Null keys stay."""
+    ids = gone.distinct()
+    table = bit_map(ids.select(F.xxhash64("gone").alias("id")))
+    hashed = df.withColumn("_id_hash", F.xxhash64(F.col(key)))
+
+    def part(wanted: bool):
+        def keep(batches):
+            for batch in batches:
+                hit = table.has(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                rest = batch.filter(pa.array(hit == wanted))
+                yield rest.select(rest.schema.names[:-1])
 
+        return hashed.mapInArrow(keep, df.schema)
 
-def in_map(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the bits of ``ids`` (uint64) are set."""
-    bit = ids & np.uint64((1 << MAP_BITS) - 1)
-    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return part(False).union(part(True).join(ids, F.col(key) == F.col("gone"), "left_anti"))
