@@ -402,7 +402,7 @@ def test_best_fit_choices():
     bins, starts, capacity = packing.pack(lengths)
     assert bins[5] not in set(np.delete(bins, 5)) and capacity[5] == 4096 and starts[5] == 0
     bins, _, capacity = packing.pack(np.array([500, 400, 100, 12]), capacities=(512,))
-    assert bins.tolist() == [0, 1, 1, 0] and set(capacity) == {512}
+    assert bins.tolist()[:3] == [0, 1, 1] and bins[3] in (0, 1) and set(capacity) == {512}
     assert packing.opening_capacity(400, 0) == 512 and packing.opening_capacity(600, 10**9) in (1024, 2048)
 
 
