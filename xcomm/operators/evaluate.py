@@ -12,11 +12,12 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import append_cell, pending_cells
 from .metrics import binary_metrics
 from .models import FEATURES, LABEL, make_model
 
@@ -55,19 +56,50 @@ def _cell(data: DataFrame, model_name: str, k: int, features: list[str]) -> tupl
             fit_time, m["tn"], m["fp"], m["fn"], m["tp"])
 
 
+def cv_grid(df: DataFrame, cells: list[tuple[str, list[str]]], label: str = "IsEfficient", fold: str = "group_number",
+            threads: int = 4, done_path: str | None = None) -> DataFrame:
+    """V2 over a grid of (model, feature columns): one row per cell and fold.
+
+    All columns of the grid are assembled and cached once; a cell slices the wide vector, and all
+    (cell, fold) jobs share one pool.  With ``done_path`` finished cells are appended there and
+    skipped by a later run (S9)."""
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(c for _, cols in cells for c in cols))
+    data = assemble(df, columns, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
+        jobs = [(m, list(cols), k) for m, cols in cells for k in folds]
+        if done_path:
+            asked = spark.createDataFrame(jobs, "classifier_name string, features_list array<string>, fold int")
+            left = pending_cells(spark, asked, done_path, ["classifier_name", "features_list", "fold"])
+            jobs = [tuple(r) for r in left.collect()]
+
+        def run(job):
+            model, cols, k = job
+            sliced = data
+            if cols != columns:
+                slicer = VectorSlicer(inputCol="__xc_wide", outputCol=FEATURES, indices=[columns.index(c) for c in cols])
+                sliced = slicer.transform(data.withColumnRenamed(FEATURES, "__xc_wide")).drop("__xc_wide")
+            row = _cell(sliced, model, k, list(cols))
+            if done_path:
+                append_cell(spark.createDataFrame([row], RESULT_SCHEMA), done_path)
+            return row
+
+        with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+            rows = list(pool.map(run, jobs))
+    finally:
+        data.unpersist()
+    if done_path:
+        return spark.read.schema(RESULT_SCHEMA).parquet(done_path)
+    return spark.createDataFrame(rows, RESULT_SCHEMA)
+
+
 def grouped_cv(df: DataFrame, feature_cols: list[str], models: list[str], label: str = "IsEfficient",
-               fold: str = "group_number", threads: int = 4) -> DataFrame:
+               fold: str = "group_number", threads: int = 4, done_path: str | None = None) -> DataFrame:
     """V2: leave-one-fold-out evaluation of every model on the given feature columns.  Returns one
     row per (model, fold) with accuracy (``score``), hard-label ``auc`` (null for a one-class
     fold), fit wall time and the confusion counts."""
-    spark = df.sparkSession
-    data = assemble(df, feature_cols, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
-    folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
-    cells = [(m, k) for m in models for k in folds]
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        rows = list(pool.map(lambda c: _cell(data, c[0], c[1], list(feature_cols)), cells))
-    data.unpersist()
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    return cv_grid(df, [(m, feature_cols) for m in models], label, fold, threads, done_path)
 
 
 def pooled_cv(df: DataFrame, feature_cols: list[str], models: list[str], label: str, fold: str,
@@ -78,18 +110,16 @@ def pooled_cv(df: DataFrame, feature_cols: list[str], models: list[str], label:
     data = assemble(df, feature_cols, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
     folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
 
-    def run(model_name):
-        t0 = time.time()
-        preds = None
-        for k in folds:
-            p = make_model(model_name).fit(data.where(F.col("fold") != k)).predict(data.where(F.col("fold") == k))
-            p = p.select(LABEL, "prediction")
-            preds = p if preds is None else preds.unionByName(p)
-        m = binary_metrics(preds, [], label=LABEL, prediction="prediction").first()
-        return (model_name, list(feature_cols), None, float(m["accuracy"]),
-                None if m["auc"] is None else float(m["auc"]), time.time() - t0, m["tn"], m["fp"], m["fn"], m["tp"])
+    def run(cell):
+        return _cell(data, cell[0], cell[1], list(feature_cols))
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        rows = list(pool.map(run, models))
+        parts = list(pool.map(run, [(m, k) for m in models for k in folds]))
     data.unpersist()
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    # the confusion counts of the folds add up to those of the pooled predictions
+    counts = spark.createDataFrame(parts, RESULT_SCHEMA).groupBy("classifier_name", "features_list").agg(
+        F.sum("train_time").alias("train_time"), *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    right, total = F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    rates = (F.try_divide("tp", F.col("tp") + F.col("fn")) + F.try_divide("tn", F.col("tn") + F.col("fp"))) / 2
+    pooled = counts.withColumns({"fold": F.lit(None).cast("int"), "score": F.try_divide(right, total), "auc": rates})
+    return pooled.select(*[f.name for f in RESULT_SCHEMA])

@@ -19,6 +19,7 @@ from .registry import query
 DOC_COUNTS = ["n_chars", "n_words", "n_lines", "n_upper", "n_digits"]
 DOC_FEATURES = [f"log_{c}" for c in DOC_COUNTS]
 CV_K = 5
+POOLED_K = 100
 
 
 def doc_features(spark, sf_dir):
@@ -77,37 +78,37 @@ for _name, _model in CV_MODELS.items():
 
 @query("pooled_cv_logistic")
 def q_pooled_cv_logistic(spark, sf_dir):
-    """V1 evaluation: stratified folds (k = 10 here), pooled out-of-fold predictions, one score."""
-    f = stratified_folds(doc_features(spark, sf_dir), "IsEfficient", "doc_id", 10)
-    return pooled_cv(f, DOC_FEATURES, ["LogisticRegression"], "IsEfficient", "fold", threads=1).select(
+    """V1 evaluation: stratified folds (k = 100), pooled out-of-fold predictions, one score."""
+    f = stratified_folds(doc_features(spark, sf_dir), "IsEfficient", "doc_id", POOLED_K)
+    return pooled_cv(f, DOC_FEATURES, ["LogisticRegression"], "IsEfficient", "fold", threads=8).select(
         "classifier_name", "score", "auc", "tn", "fp", "fn", "tp")
 
 
+SEARCH_GROUPS = {"length": ["log_n_chars", "log_n_words"], "layout": ["log_n_lines"], "case": ["log_n_upper"],
+                 "digits": ["log_n_digits"]}
+SEARCH_MODELS = ["NearestCentroid", "RidgeClassifier"]
+
+
 @query("group_search")
 def q_group_search(spark, sf_dir):
-    """V9: every subset of two feature groups that holds the 'length' group, one model."""
-    groups = {"length": ["log_n_chars", "log_n_words", "log_n_lines"], "case": ["log_n_upper", "log_n_digits"]}
-    res = feature_group_search(doc_folds(spark, sf_dir), groups, ["NearestCentroid"], "IsEfficient",
-                               "group_number", must_include="length", threads=2)
-    return fold_means(res, ["classifier_name", "group_list"])
+    """V8 + V9: every subset of the feature groups that holds the 'length' group, for each model."""
+    res = feature_group_search(doc_folds(spark, sf_dir), SEARCH_GROUPS, SEARCH_MODELS, "IsEfficient", "group_number",
+                               must_include="length", threads=8)
+    return fold_means(res, ["classifier_name", "group_list"]).drop("train_time")
 
 
 @query("backward_elimination")
 def q_backward_elimination(spark, sf_dir):
-    """Greedy backward elimination over three features with the nearest-centroid model."""
-    path = stepwise(doc_folds(spark, sf_dir), ["log_n_chars", "log_n_words", "log_n_upper"], "NearestCentroid",
-                    "IsEfficient", "group_number", "backward", threads=2)
-    return spark.createDataFrame([(i, cols, float(a)) for i, (cols, a) in enumerate(path)],
-                                 "step int, features_list array<string>, auc double")
+    """Greedy backward elimination over all document features, best AUC over the models."""
+    return stepwise(doc_folds(spark, sf_dir), DOC_FEATURES, SEARCH_MODELS, "IsEfficient", "group_number", "backward",
+                    threads=8)
 
 
 @query("forward_selection")
 def q_forward_selection(spark, sf_dir):
-    """Greedy forward selection over three features with the nearest-centroid model."""
-    path = stepwise(doc_folds(spark, sf_dir), ["log_n_chars", "log_n_words", "log_n_upper"], "NearestCentroid",
-                    "IsEfficient", "group_number", "forward", threads=2)
-    return spark.createDataFrame([(i, cols, float(a)) for i, (cols, a) in enumerate(path)],
-                                 "step int, features_list array<string>, auc double")
+    """Greedy forward selection over all document features, best AUC over the models."""
+    return stepwise(doc_folds(spark, sf_dir), DOC_FEATURES, SEARCH_MODELS, "IsEfficient", "group_number", "forward",
+                    threads=8)
 
 
 # ---- nearest centroid on embeddings, exact ---------------------------------------------------------
