@@ -81,4 +81,4 @@ def test_no_window_holds_a_key(spark):
     plan = keyed_exclusive_sum(df, ["k"], ["t", "id"], ["w"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line]
     assert windows and "MapInPandas" not in plan
-    assert sum("shiftright" in plan for _ in windows) and len(windows) == 3
+    assert sum("shiftright" in plan for _ in windows) and len(windows) == 2
