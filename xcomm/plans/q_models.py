@@ -45,6 +45,80 @@ def doc_folds(spark, sf_dir, k=CV_K):
     return author_folds(doc_features(spark, sf_dir), "source", k)
 
 
+def _folds_sql(k: int) -> str:
+    """CTEs up to ``feat``: the document features with author-disjoint folds, as DuckDB SQL."""
+    return f"""WITH RECURSIVE x AS (SELECT l.doc_id, d.source, 2 * l.quality - 1 AS label, d.n_chars,
+                            len(regexp_extract_all(d.text, '{WORD_TOKEN}')) AS n_words,
+                            len(string_split(d.text, chr(10))) AS n_lines,
+                            length(regexp_replace(d.text, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
+                            length(regexp_replace(d.text, '[^0-9]', '', 'g')) AS n_digits,
+                            100.0 * length(regexp_replace(d.text, '[^\\p{{Lu}}]', '', 'g')) / length(d.text) AS pct_upper
+                     FROM labels l JOIN documents d USING (doc_id)),
+runs AS (SELECT source, count(*) AS n FROM x GROUP BY source),
+off AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS start FROM runs),
+tot AS (SELECT sum(n) / {float(k)} AS step FROM runs),
+nxt AS (SELECT o.start AS s, (SELECT min(o2.start) FROM off o2 WHERE o2.start >= o.start + (SELECT step FROM tot)) AS ns
+        FROM off o),
+chain(s) AS (SELECT CAST(0 AS HUGEINT) UNION ALL SELECT n.ns FROM chain c JOIN nxt n ON n.s = c.s WHERE n.ns IS NOT NULL),
+feat AS (SELECT x.*, CAST((SELECT count(*) FROM chain c WHERE c.s <= o.start) - 1 AS INTEGER) AS group_number
+         FROM x JOIN off o USING (source)),
+"""
+
+
+def _cv_sql(name: str, predicted: str) -> str:
+    """Leave-one-fold-out metrics of a closed-form model; ``predicted`` is the CTE ``pred`` over
+    ``vals`` (doc_id, fold, label, i, v), ``folds`` and per-fold sums ``part``."""
+    vals = " UNION ALL ".join(f"SELECT doc_id, group_number AS fold, label, {i} AS i, ln(1 + {c}) AS v FROM feat"
+                              for i, c in enumerate(DOC_COUNTS))
+    return f"""{_folds_sql(CV_K)}
+vals AS ({vals}),
+part AS (SELECT fold, label, i, sum(v) AS sv, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS pos, count(*) AS n,
+         min(v) AS lo, max(v) AS hi FROM vals GROUP BY ALL),
+train AS (SELECT f.fold, p.label, p.i, sum(p.sv) AS sv, sum(p.pos) AS pos, sum(p.n) AS n
+          FROM (SELECT DISTINCT fold FROM vals) f JOIN part p ON p.fold <> f.fold GROUP BY ALL),
+{predicted},
+m AS (SELECT fold, count(*) AS n, sum(CASE WHEN y = -1 AND p = -1 THEN 1 ELSE 0 END)::BIGINT AS tn,
+             sum(CASE WHEN y = -1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS fp,
+             sum(CASE WHEN y = 1 AND p = -1 THEN 1 ELSE 0 END)::BIGINT AS fn,
+             sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS tp FROM pred GROUP BY fold)
+SELECT '{name}' AS classifier_name, fold, (tp + tn) / n AS score,
+       CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS auc, tn, fp, fn, tp FROM m
+"""
+
+
+CV_SQL = {
+    "NearestCentroid": """
+dist AS (SELECT v.doc_id, v.fold, v.label AS y, t.label AS p, sum((v.v - t.sv / t.n) * (v.v - t.sv / t.n)) AS d
+         FROM vals v JOIN train t USING (fold, i) GROUP BY ALL),
+pred AS (SELECT doc_id, fold, y, arg_min(p, [d, p]) AS p FROM dist GROUP BY ALL)""",
+    "MultinomialNB": f"""
+span AS (SELECT f.fold, p.i, min(p.lo) AS lo, max(p.hi) AS hi
+         FROM (SELECT DISTINCT fold FROM vals) f JOIN part p ON p.fold <> f.fold GROUP BY ALL),
+scaled AS (SELECT t.fold, t.label, t.i, t.n, CASE WHEN hi > lo THEN (t.sv - t.n * lo) / (hi - lo) ELSE 0.0 END AS sv
+           FROM train t JOIN span USING (fold, i)),
+sizes AS (SELECT fold, label, max(n) AS n, sum(sv) AS total FROM scaled GROUP BY ALL),
+every AS (SELECT fold, sum(n) AS n FROM sizes GROUP BY fold),
+score AS (SELECT v.doc_id, v.fold, v.label AS y, t.label AS p,
+                 ln(max(s.n) + 0.01) - ln(max(e.n) + 0.02)
+                 + sum(CASE WHEN hi > lo THEN least(greatest((v.v - lo) / (hi - lo), 0.0), 1.0) ELSE 0.0 END
+                       * (ln(t.sv + 0.01) - ln(s.total + 0.01 * {len(DOC_COUNTS)}))) AS d
+          FROM vals v JOIN scaled t USING (fold, i) JOIN span r USING (fold, i)
+          JOIN sizes s ON s.fold = t.fold AND s.label = t.label JOIN every e ON e.fold = t.fold GROUP BY ALL),
+pred AS (SELECT doc_id, fold, y, arg_max(p, d) AS p FROM score GROUP BY ALL)""",
+    "BernoulliNB": """
+sizes AS (SELECT fold, label, max(n) AS n FROM train GROUP BY ALL),
+every AS (SELECT fold, sum(n) AS n FROM sizes GROUP BY fold),
+score AS (SELECT v.doc_id, v.fold, v.label AS y, t.label AS p,
+                 ln(max(s.n) + 0.01) - ln(max(e.n) + 0.02)
+                 + sum(CASE WHEN v.v > 0 THEN ln(t.pos + 0.01) - ln(t.n + 0.02)
+                            ELSE ln(1 - (t.pos + 0.01) / (t.n + 0.02)) END) AS d
+          FROM vals v JOIN train t USING (fold, i) JOIN sizes s ON s.fold = t.fold AND s.label = t.label
+          JOIN every e ON e.fold = t.fold GROUP BY ALL),
+pred AS (SELECT doc_id, fold, y, arg_max(p, d) AS p FROM score GROUP BY ALL)""",
+}
+
+
 def _cv_query(model_name):
     def run(spark, sf_dir):
         res = grouped_cv(doc_folds(spark, sf_dir), DOC_FEATURES, [model_name], "IsEfficient", "group_number",
@@ -73,7 +147,7 @@ CV_MODELS = {
     "cv_logistic": "LogisticRegression",
 }
 for _name, _model in CV_MODELS.items():
-    query(_name)(_cv_query(_model))
+    query(_name, _cv_sql(_model, CV_SQL[_model]) if _model in CV_SQL else None)(_cv_query(_model))
 
 
 @query("pooled_cv_logistic")
@@ -173,23 +247,7 @@ def _rules_sql() -> str:
     rules = " UNION ALL ".join(f"SELECT '{c}' AS candidate, {t} AS thr" for c, t in sorted(RULES.items()))
     vals = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS candidate, CAST({c} AS DOUBLE) AS v FROM feat" for c in sorted(RULES))
     return f"""
-WITH RECURSIVE x AS (SELECT l.doc_id, d.source, 2 * l.quality - 1 AS label, d.n_chars,
-                            len(regexp_extract_all(d.text, '{WORD_TOKEN}')) AS n_words,
-                            len(string_split(d.text, chr(10))) AS n_lines,
-                            length(regexp_replace(d.text, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
-                            length(regexp_replace(d.text, '[^0-9]', '', 'g')) AS n_digits,
-                            100.0 * length(regexp_replace(d.text, '[^\\p{{Lu}}]', '', 'g')) / length(d.text) AS pct_upper
-                     FROM labels l JOIN documents d USING (doc_id)),
-runs AS (SELECT source, count(*) AS n FROM x GROUP BY source),
-off AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-        AS start FROM runs),
-tot AS (SELECT sum(n) / {float(AUTHOR_K)} AS step FROM runs),
-nxt AS (SELECT o.start AS s, (SELECT min(o2.start) FROM off o2 WHERE o2.start >= o.start + (SELECT step FROM tot)) AS ns
-        FROM off o),
-chain(s) AS (SELECT CAST(0 AS HUGEINT) UNION ALL SELECT n.ns FROM chain c JOIN nxt n ON n.s = c.s WHERE n.ns IS NOT NULL),
-feat AS (SELECT x.*, CAST((SELECT count(*) FROM chain c WHERE c.s <= o.start) - 1 AS INTEGER) AS group_number
-         FROM x JOIN off o USING (source)),
-vals AS ({vals}),
+{_folds_sql(AUTHOR_K)}vals AS ({vals}),
 p AS (SELECT b.dn, b.up, r.candidate, f.group_number, f.label, CASE WHEN v.v > r.thr THEN 1 ELSE -1 END AS prediction
       FROM feat f JOIN ({bands}) b ON f.pct_upper BETWEEN b.dn AND b.up
       JOIN vals v ON v.doc_id = f.doc_id JOIN ({rules}) r ON r.candidate = v.candidate),
