@@ -20,7 +20,6 @@ Not provided: exact k-nearest-neighbours (C4) — it needs every test × train d
 
 from __future__ import annotations
 
-import time
 import warnings
 from dataclasses import dataclass, field
 
@@ -517,9 +516,3 @@ MODELS = {
 
 def make_model(name: str):
     return MODELS[name]()
-
-
-def timed_fit(name: str, train: DataFrame):
-    t0 = time.time()
-    m = make_model(name).fit(train)
-    return m, time.time() - t0
