@@ -6,7 +6,8 @@ their hashes, and fragments are ranges of that order, so every set is cut into t
 Candidates: sets that differ in at most d shingles differ in at most d segments.  With more
 segments than d, two similar sets agree in a whole segment, so only the hashes of segments are
 shuffled (about one for every seven shingles), and shared passages or frequent shingles alone
-make no candidates.
+make no candidates.  Where a lower similarity is asked for, the rarest first shingles are shuffled
+instead, in an order from a sketch of all shingles' frequencies.
 
 Verification: sets that meet in many segments are gathered in blocks of bounded size, and two
 blocks are compared when a segment occurs in both.  In a task partial overlaps of all their pairs
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitmaps import bit_map, in_map
+from .bitmaps import bit_map
 from .common import components, staged
 from .cover_tree import spanning_roots
 from .textbytes import LOWER, mix, text_slices, word_hashes
@@ -41,10 +42,20 @@ STRONG = 3
 #: A set with few such segments also gives combinations of its first shingles: of so many shingles
 #: each, where sets may differ in so many.
 COMBINED = ((3, 8), (2, 30), (1, 1 << 40))
+#: From this similarity on, whole segments are names; under it sets may differ in so many shingles
+#: that segments get too small, and rare first shingles are.
+SEGMENTS_FROM = 87
+#: Then two similar sets share a name for every so many shingles of the smaller one.
+COMMON = 20
+#: Cells of the frequency sketch, as a power of two.
+SKETCH_BITS = 23
 #: Shingles that a block holds on average (a longer set is a block of its own).
 BLOCK_SHINGLES = 300_000
 #: Shingles that a set counts for at least: bounds the sets of a block, too.
 LEAST_WEIGHT = 300
+#: Bytes of a shingle's hash in the verification: two sets of n shingles miscount with a chance of
+#: about n * n / 2**48.
+WIDTH = 6
 #: Shingles of one fragment of the verification: bounds its matrices.
 FRAGMENT = 2048
 
@@ -133,6 +144,61 @@ def segment_names(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(names).view(np.int64) if names else np.zeros(0, np.int64)
 
 
+def first_names(shingles: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarray:
+    """Names by the prefix rule: of similar sets, the ``n - ceil(t n) + c`` first shingles share c, in
+    any common order; c is a twentieth of the set (``common_names``), so a passage that two
+    otherwise different documents share makes no candidates.  The order is by the cell of ``sketch`` that counts a shingle (rare ones
+    first), then by hash, so passages that several documents share are rarely names."""
+    n = len(shingles)
+    count = n - -(-n * percent // 100) + -(-n // COMMON)
+    order = (sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (shingles >> np.uint64(16))
+    return mix(shingles[np.argsort(order, kind="stable")[:count]] ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
+
+
+def with_common_names(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``met`` (``segment, cid, least``) without the sets that have too few names in common with others:
+    a partner of a set of n has ``ceil(t n)`` shingles at least, and shares a twentieth of that."""
+    need = F.ceil(F.ceil(F.col("n") * percent / 100) / COMMON)
+    enough = met.groupBy("cid").agg(F.count("*").alias("c")).join(sizes, "cid").where(F.col("c") >= need).select("cid")
+    return shared_names(met.select("segment", "cid").join(enough, "cid", "left_semi"))
+
+
+def shared_names(named: DataFrame) -> DataFrame:
+    """``segment, cid, least`` of the names in ``named`` (``segment, cid``) that two sets or more have."""
+    groups = Window.partitionBy("segment")
+    found = named.withColumns({"least": F.min("cid").over(groups), "most": F.max("cid").over(groups)})
+    return found.where("least < most").select("segment", "cid", "least")
+
+
+def frequency_sketch(docs: DataFrame, text: str, n_words: int) -> np.ndarray:
+    """Counts of shingles over all documents, in cells by their first ``SKETCH_BITS`` bits (capped at
+    255): 8 MB, whatever the input.  Tasks count on their own, chunks of cells are summed."""
+    cells, chunk = 1 << SKETCH_BITS, 1 << 11
+
+    def count(batches):
+        total = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                sets = shingle_sets(data, offsets, n_words)
+                if sets:
+                    at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                    total[at.astype(np.int64)] += n.astype(np.uint32)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, chunk)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["chunk", "counts"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.uint8) for x in part["counts"]], axis=0, dtype=np.int64)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+
+    schema = "chunk int, counts binary"
+    found = docs.select(text).mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).toArrow()
+    sketch = np.zeros((cells // chunk, chunk), np.uint8)
+    for k, counts in zip(found["chunk"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        sketch[k] = np.frombuffer(counts, np.uint8)
+    return sketch.ravel()
+
+
 def _combined(n: int, percent: int) -> int:
     differ = n - -(-n * percent // 100)
     return next(c for c, most in COMBINED if differ <= most)
@@ -145,9 +211,15 @@ def _choices(n: int, c: int) -> np.ndarray:
 
 def describe(docs: DataFrame, text: str, keep: tuple[str, ...], n_words: int, percent: int) -> DataFrame:
     """``row`` (struct of ``keep``), ``n`` (set size), ``cid``, ``cid2`` (names of the set) and
-    ``segments``.  Of equal sets in one task only the first lists its segments."""
+    ``segments`` (names of candidates).  Of equal sets in one task only the first lists its segments."""
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col(text).alias("text"))
     long = T.LongType()
+    sketch = None if percent >= SEGMENTS_FROM else frequency_sketch(docs, text, n_words)
+    nothing = np.zeros(0, np.int64)
+
+    def names_of(shingles: np.ndarray) -> np.ndarray:
+        return segment_names(shingles, percent) if sketch is None else first_names(shingles, percent, sketch)
+
     out = T.StructType(
         [rows.schema["row"], T.StructField("n", long), T.StructField("cid", long), T.StructField("cid2", long), T.StructField("segments", T.ArrayType(long))]
     )
@@ -164,7 +236,7 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...], n_words: int, pe
                     n.append(len(s))
                     one.append(a)
                     two.append(b)
-                    segments.append(segment_names(s, percent) if new else np.zeros(0, np.int64))
+                    segments.append(names_of(s) if new else nothing)
             ends = np.cumsum([0] + [len(s) for s in segments])
             flat = pa.array(np.concatenate(segments) if segments else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +254,8 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...], n_words: int, pe
 
 
 def set_table(docs: DataFrame, ids: DataFrame, text: str, n_words: int) -> DataFrame:
-    """``cid, n, shingles`` (packed) for the sets named in ``ids`` (column ``id``), one row each."""
+    """``cid, n, shingles`` (packed, ``WIDTH`` bytes each) for the sets named in ``ids`` (column
+    ``id``) and few others; a set comes once from each task that has it."""
     wanted = bit_map(ids)
 
     def work(batches):
@@ -194,19 +267,23 @@ def set_table(docs: DataFrame, ids: DataFrame, text: str, n_words: int) -> DataF
                     if not len(s):
                         continue
                     name = set_names(s)
-                    if name in met or not in_map(wanted, np.array([name[0]]).view(np.uint64))[0]:
+                    if name in met or not wanted.has(np.array([name[0]]).view(np.uint64))[0]:
                         continue
                     met.add(name)
                     cids.append(name[0])
                     sizes.append(len(s))
-                    packed.append(s.tobytes())
+                    packed.append(np.ascontiguousarray(s.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "shingles"]
             )
 
-    found = docs.select(text).mapInArrow(work, "cid long, n long, shingles binary")
-    found = found.join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi")
-    return staged(found.groupBy("cid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "jaccard-sets")
+    return docs.select(text).mapInArrow(work, "cid long, n long, shingles binary")
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // WIDTH, 8), np.uint8)
+    wide[:, 8 - WIDTH :] = np.frombuffer(packed, np.uint8).reshape(-1, WIDTH)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -236,10 +313,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _compare(percent: int):
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part[part["side"] == s] for s in (0, 1)]
+        sides = [part[part["side"] == s].drop_duplicates("cid") for s in (0, 1)]
         if not len(sides[1]):
             sides[1] = sides[0]
-        sets = [[np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in sides]
+        sets = [[unpacked(x) for x in side["shingles"]] for side in sides]
         na, nb = (side["n"].to_numpy() for side in sides)
         both = overlaps(*sets)
         similar = 100 * both >= percent * (na[:, None] + nb[None, :] - both)
@@ -253,9 +330,9 @@ def _compare(percent: int):
     return compare
 
 
-def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` that connect all similar sets among those that share a segment in ``met``
-    (``segment, cid, least``).
+def dealt_blocks(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``block1, block2, side, cid``: the pairs of blocks to compare, with their sets, so that all sets
+    that share a segment in ``met`` (``segment, cid, least``) meet.  ``sizes``: ``cid, n``.
 
     Sets that segments connect are cut into blocks of about ``BLOCK_SHINGLES`` shingles.  A set's
     home is the set that is least in most of its segments; sets of one home go to one block, unless
@@ -264,7 +341,7 @@ def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     home = share.groupBy("cid").agg(F.max(F.struct("c", "least"))["least"].alias("home"))
     near = components(share.where("cid <> least"), "cid", "least").withColumnRenamed("node", "cid")
     weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
-    sized = staged(sets.select("cid", weight.alias("n")).join(home, "cid").join(near, "cid"), "jaccard-homes")
+    sized = staged(sizes.select("cid", weight.alias("n")).join(home, "cid").join(near, "cid"), "jaccard-homes")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     large = sized.groupBy("home").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
     spread = F.when(F.col("large"), F.xxhash64("cid")).otherwise(F.xxhash64("home"))
@@ -279,11 +356,11 @@ def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .distinct(),
         "jaccard-pairs",
     )
+    single = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n = 1").select(F.col("block").alias("single"))
+    pairs = pairs.join(single, (F.col("block1") == F.col("block2")) & (F.col("block1") == F.col("single")), "left_anti")
     left = pairs.select("*", F.col("block1").alias("block"), F.lit(0).alias("side"))
     right = pairs.where("block1 < block2").select("*", F.col("block2").alias("block"), F.lit(1).alias("side"))
-    dealt = blocks.join(left.union(right), "block").join(sets, "cid")
-    dealt = dealt.select("block1", "block2", "side", "cid", "n", "shingles")
-    return dealt.groupBy("block1", "block2").applyInPandas(_compare(percent), "a long, b long")
+    return staged(blocks.join(left.union(right), "block").select("block1", "block2", "side", "cid"), "jaccard-dealt")
 
 
 def jaccard_components(
@@ -302,22 +379,21 @@ def jaccard_components(
     Null and empty texts, and texts of white space, have no shingles and link with nothing.  Equal
     rows and equal sets are one class.  A null key never is a component id; where no key is in
     reach it is null.  An empty table gives an empty result; columns of any name may be in
-    ``keep``.  Shingles are compared by 64-bit hashes.
+    ``keep``.  Shingles are compared by hashes, of 64 bits for candidates and 48 in the verification.
     """
     keep = keep or (key,)
     fields = tuple(dict.fromkeys([*keep, key]))
     rows = staged(describe(docs, text, fields, n_words, percent), "jaccard-rows")
-    groups = Window.partitionBy("segment")
-    met = (
-        rows.select(F.explode("segments").alias("segment"), "cid")
-        .withColumns({"least": F.min("cid").over(groups), "most": F.max("cid").over(groups)})
-        .where("least < most")
-        .select("segment", "cid", "least")
-    )
-    met = staged(met, "jaccard-met")
+    met = staged(shared_names(rows.select(F.explode("segments").alias("segment"), "cid")), "jaccard-met")
+    sizes = rows.where("size(segments) > 0").groupBy("cid").agg(F.max("n").alias("n"))
+    if percent < SEGMENTS_FROM:
+        for _ in range(2):
+            met = staged(with_common_names(met, sizes, percent), "jaccard-met")
     ids = staged(met.select(F.col("cid").alias("id")).distinct(), "jaccard-ids")
-    sets = set_table(docs, ids, text, n_words)
-    reach = components(staged(block_links(met, sets, percent), "jaccard-links"), "a", "b")
+    dealt = dealt_blocks(met, sizes.join(ids, F.col("cid") == F.col("id"), "left_semi"))
+    compared = dealt.join(set_table(docs, dealt.select(F.col("cid").alias("id")), text, n_words), "cid")
+    links = compared.groupBy("block1", "block2").applyInPandas(_compare(percent), "a long, b long")
+    reach = components(staged(links, "jaccard-links"), "a", "b")
     classes = (
         rows.where("n > 0")
         .groupBy("cid", "cid2")
