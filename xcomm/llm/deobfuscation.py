@@ -28,7 +28,7 @@ from .textbytes import text_slices
 #: Expected number of labelled rows that the word model is fitted on (the bound of the sample).
 SAMPLE_ROWS = 30_000
 #: Words that may enter the word model, and boosting steps that pick among them.
-CANDIDATES = 20_000
+CANDIDATES = 5_000
 STEPS = 400
 #: A candidate occurs in this many toxic texts of the sample at least.
 LEAST_TEXTS = 3
