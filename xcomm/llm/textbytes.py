@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds (a longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Odd multiplier of the polynomial hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15 | 1
