@@ -283,6 +283,17 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert cut == whole and len({p for _, p in whole}) == len(data) - 399
 
 
+def test_texts_of_many_pieces_keep_what_stands_once(spark):
+    letters = np.random.default_rng(6).integers(97, 123, 9 << 20).astype(np.uint8).tobytes().decode()
+    edge = suffix_dedup.PIECE
+    alone, rest = letters[: 2 * edge + 9000], letters[2 * edge + 9000 : 4 * edge + 20000]
+    passage = letters[-900:]
+    copied = rest[: edge - 451] + "#" + passage + "%" + rest[edge + 451 :]
+    rows = [(1, alone, "a"), (2, copied, "a"), (3, "<" + passage + ">", "a")]
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, rows)).drop("cleaned").collect()}
+    assert got == {1: (len(alone), 0, 0), 2: (len(copied), 900, 1), 3: (902, 900, 1)}
+
+
 # Jaccard -------------------------------------------------------------------------------------
 
 
