@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -382,6 +383,52 @@ def test_licences(spark, docs, none):
     assert licences.scan_licences(docs).count() == docs.count() and licences.scan_licences(none).count() == 0
 
 
+MIT = [
+    "MIT License",
+    "Copyright (c) 2020 A. Person",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.',
+]
+BSD = [
+    "Copyright 2020 A. Person",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the University of Nowhere nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+]
+APACHE = [
+    "Copyright 2020 A. Person",
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+]
+GPL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+]
+
+
+@pytest.mark.parametrize("width", [72, 40, 10_000])
+def test_wrapped_licence_texts(spark, width):
+    want = {"MIT:full": MIT, "BSD-3-Clause:full": BSD, "BSD-2-Clause:full": BSD[:4] + BSD[5:], "Apache-2.0:notice": APACHE, "GPL-3.0:notice": GPL}
+    texts = {}
+    for rule, paragraphs in want.items():
+        lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width), ""]]
+        for prefix in ("", "# ", " * ", "// ", ";; ", "dnl "):
+            texts[len(texts)] = rule, "import x\n" + "\n".join((prefix + x).rstrip() for x in lines) + "\nrest"
+        texts[len(texts)] = rule, "\r\n".join(["/*", *lines, "*/"])
+    whole = ["Apache License Version 2.0, January 2004", "http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"]
+    texts[len(texts)] = "Apache-2.0:full", "\n\n".join(whole)
+    texts[len(texts)] = None, "Nothing here is licensed under the Apache License, Version 2.0 and nobody has the MIT License or all rights reserved by."
+    texts[len(texts)] = None, "\n\n".join(textwrap.fill(p, 30).replace(" ", "\n\n", 1) for p in (MIT[2], BSD[1]))
+    rows = frame(spark, [(k, t, None) for k, (_, t) in texts.items()])
+    got = {r.row.doc_id: r.rules for r in licences.scan_licences(rows).collect()}
+    for k, (rule, text) in texts.items():
+        assert got[k] == ([rule] if rule else []), text
+
+
 # packing -------------------------------------------------------------------------------------
 
 
