@@ -467,6 +467,26 @@ def test_best_fit_choices():
 # queries -------------------------------------------------------------------------------------
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    prose = lambda: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(120))
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = lambda t, k: t + f" more{k}"
+    # a: smaller id elsewhere; b and c: stand once under the repeated id; d: one id only; e: no ids
+    rows = [(1, a), (7, near(a, 1)), (7, b), (7, c), (7, d), (7, near(d, 1)), (7, near(d, 2)), (None, e), (None, near(e, 1)), (9, near(d, 3))]
+    rows += [(None, near(a, 2)), (7, ""), (7, None), (None, None), (None, "")]
+    table = frame(spark, [(i, t, "s") for i, t in rows]).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, table, None)
+    assert got.columns == table.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert Counter(t for i, t in found if not t) == Counter({"": 2, None: 2}) and Counter(i for i, t in found if not t) == Counter({7: 2, None: 2})
+    left = [(i, t) for i, t in found if t]
+    assert {(1, a), (7, b), (7, c)} <= set(left) and len(left) == 5
+    assert sorted((i is None, t[:20]) for i, t in left if t[:20] in (d[:20], e[:20])) == sorted([(False, d[:20]), (True, e[:20])])
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from xcomm.llm import queries
