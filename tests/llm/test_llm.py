@@ -82,6 +82,18 @@ def test_restores_disguised_words(toxic, seen):
     assert b"idiot" in deobfuscation.features(body), body
 
 
+@pytest.mark.parametrize("seen", ["iddiot", "idiiot", "morron", "mooronn", "id iot", "idi ot", "i   d   i   o   t", "i d  i   o t", "i -- d i --- o t", "id   iot", "mo ron"])
+def test_restores_doubled_and_cut_words(toxic, seen):
+    (body, _), = deobfuscation.Restorer(toxic.language).texts(pa.array([f"the on {seen} ention and"]))
+    assert {b"idiot", b"moron"} & deobfuscation.features(body), body
+
+
+def test_plain_short_words_stay(toxic):
+    text = "it is on the good letter and all of us see it too"
+    (body, n), = deobfuscation.Restorer(toxic.language).texts(pa.array([text]))
+    assert n == 0 and body.decode().strip() == text
+
+
 def test_clean_spans_stay(toxic):
     text = "plain words, with stops. and two lines\nof it"
     (body, n), = deobfuscation.Restorer(toxic.language).texts(pa.array([text]))

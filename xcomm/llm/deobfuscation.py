@@ -1,18 +1,21 @@
 """Toxicity with noisy-channel deobfuscation.
 
 Texts are folded to plain lower-case letters.  Spans that look disguised (digits or symbols among
-letters, letters spaced out, letters repeated) become character lattices: every observed sign
+letters, letters spaced out, words cut in short chunks, letters repeated) become character lattices: every observed sign
 offers the letters that it may stand for, or nothing, each at a channel cost.  A Viterbi search
 under a character 4-gram model of the whole corpus restores the likeliest letters; the restored
-text is then scored by a word model fitted on labelled rows.
+text is then scored by a word model fitted on labelled rows, whose features are the words as they
+are and without repeated letters.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,11 @@ DOUBLED = math.log(1e-4)
 JOINED = math.log(0.9)
 SPLIT = math.log(0.05)
 DROPPED = math.log(0.02)
+#: A blank inside a word that was cut in chunks.
+CUT = math.log(1e-3)
+#: Letters of such a chunk at most, and the share of ``CUT`` that a join must gain to be decoded.
+CHUNK = 4
+LIKELY = 0.5
 #: States that the search keeps at each sign (a censored letter opens many).
 BEAM = 256
 
@@ -144,24 +152,52 @@ def suspicious_spans(signs: np.ndarray) -> list[tuple[int, int]]:
         spans = list(zip(lo[first].tolist(), hi[first].tolist(), strict=True))
     glyph = letter | edge
     lone = at(glyph, 0) & ~at(glyph, -1) & ~at(glyph, 1)
-    wide = np.zeros(n + 16, bool)
-    wide[8 : n + 8] = lone
-    joint = np.zeros(n + 1, np.int64)
-    line = signs == 10
-    for gap in (2, 3):
-        near = wide[8 : n + 8] & wide[8 + gap : n + 8 + gap]
-        chain = np.flatnonzero(near & (wide[8 + 2 * gap : n + 8 + 2 * gap] | wide[8 - gap : n + 8 - gap]))
-        np.add.at(joint, chain, 1)
-        np.add.at(joint, np.minimum(chain + gap + 1, n), -1)
-    covered = (np.cumsum(joint)[:n] > 0) & ~line
-    if covered.any():
-        steps = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
-        runs = zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True)
-        runs = [r for r in runs if r[1] - r[0] >= 5 and letter[4 + r[0] : 4 + r[1]].any()]
+    # three lone glyphs or more, one after the other in a line, whatever the gaps
+    place = np.flatnonzero(at(glyph, 0))
+    single, line = lone[place], np.cumsum(signs == 10)[place]
+    linked = single[1:] & single[:-1] & (line[1:] == line[:-1])
+    if linked.any():
+        steps = np.diff(np.concatenate([[0], linked.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        runs = [(a, b + 1) for a, b in zip(place[first].tolist(), place[last].tolist(), strict=True)]
+        runs = [r for r, k in zip(runs, (last - first).tolist(), strict=True) if k >= 2 and letter[4 + r[0] : 4 + r[1]].any()]
         spans = _disjoint(sorted([*spans, *runs]))
     return spans
 
 
+def chunk_spans(signs: np.ndarray, model: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of short chunks of letters in a line, one of whose blanks the language model would rather
+    be without.  The run takes in the short chunks next to it, which may belong to the word."""
+    blank = _IS_BLANK[signs]
+    edge = np.diff(np.concatenate([[1], blank.astype(np.int8), [1]]))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size, letters, lines = end - start, np.concatenate([[0], np.cumsum(_IS_LETTER[signs])]), np.concatenate([[0], np.cumsum(signs == 10)])
+    short = (size <= CHUNK) & (letters[end] - letters[start] == size)
+    side = short[:-1] & short[1:] & (lines[end[:-1]] == lines[start[1:]])
+    k = np.flatnonzero(side)
+    if not len(k):
+        return []
+    c = CODE[signs]
+    last, first, left, right = end[k] - 1, start[k + 1], size[k], size[k + 1]
+    a1, a2, a3 = c[last], np.where(left > 1, c[last - 1], 0), np.where(left > 2, c[last - 2], 0)
+    top = len(c) - 1
+    b1, b2, b3 = c[first], np.where(right > 1, c[np.minimum(first + 1, top)], 0), np.where(right > 2, c[np.minimum(first + 2, top)], 0)
+    after = lambda x, y, z, to: model[(x * LETTERS + y) * LETTERS + z, to]
+    more = right > 1
+    joined = after(a3, a2, a1, b1) + after(a2, a1, b1, b2) + more * after(a1, b1, b2, b3)
+    zero = np.zeros_like(a1)
+    split = after(a3, a2, a1, zero) + after(a2, a1, zero, b1) + after(a1, zero, b1, b2) + more * after(zero, b1, b2, b3)
+    spans = []
+    for i in k[joined - split > -CUT * LIKELY].tolist():
+        lo, hi = i, i + 1
+        while lo > 0 and i - lo < CHUNK and side[lo - 1]:
+            lo -= 1
+        while hi < len(side) and hi - i < CHUNK and side[hi]:
+            hi += 1
+        spans.append((int(start[lo]), int(end[hi])))
+    return _disjoint(sorted(spans))
+
+
 def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in spans:
@@ -181,6 +217,7 @@ def lattice(span: str) -> list[list[tuple[int, float]]]:
     near = range(start - 2 if start <= 2 else start, end + 2 if len(span) - end <= 2 else end)
     pieces = core.translate(str.maketrans("-._*", "    ")).split()
     lone = bool(core) and all(len(p) == 1 for p in pieces)
+    chunked = len(pieces) > 1 and all(len(p) <= CHUNK for p in pieces)
     doubled = sum(a == b for a, b in zip(core, core[1:], strict=False)) * 5 >= len(core) * 2
     out = []
     for i, ch in enumerate(span):
@@ -197,7 +234,9 @@ def lattice(span: str) -> list[list[tuple[int, float]]]:
                 options += [(int(CODE[ord(x)]), STANDS_FOR - math.log(len(LEET[ch]))) for x in LEET[ch]]
         else:
             options = []
-            if ch in SEPARATORS:
+            if ch == " " and chunked and not lone:
+                options += [(0, SAME), (-1, SAME if again else CUT)]
+            elif ch in SEPARATORS:
                 options += [(-1, JOINED), (0, SPLIT)] if lone or ch != " " else [(0, SAME)]
             if ch in LEET and not (ch == "*" and lone):
                 options += [(int(CODE[ord(x)]), STANDS_FOR - math.log(len(LEET[ch]))) for x in LEET[ch]]
@@ -288,20 +327,23 @@ class Restorer:
         """For each text of a column: folded bytes with disguised spans replaced, and their number."""
         for _, _, data, offsets in text_slices(column):
             signs, places = folded(data, offsets)
-            spans = suspicious_spans(signs)
+            spans = _disjoint(sorted([*suspicious_spans(signs), *chunk_spans(signs, self.model)]))
             body = signs.tobytes()
             k = 0
             for lo, hi in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
                 if k >= len(spans) or spans[k][0] >= hi:
                     yield body[lo:hi], 0
                     continue
-                parts, at, first = [], lo, k
+                parts, at, n = [], lo, 0
                 while k < len(spans) and spans[k][0] < hi:
                     a, b = spans[k]
-                    parts += [body[at:a], self.span(body[a:b])]
-                    at, k = b, k + 1
+                    seen, k = body[a:b], k + 1
+                    found = self.span(seen)
+                    if found.split() != seen.split():
+                        parts += [body[at:a], found]
+                        at, n = b, n + 1
                 parts.append(body[at:hi])
-                yield b"".join(parts), k - first
+                yield b"".join(parts), n
 
 
 _ONLY_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
@@ -312,15 +354,30 @@ START = 4
 TIMES = (1, 2, 3)
 
 
+_RUN = re.compile(rb"(.)\1+")
+
+
+@lru_cache(200_000)
+def single_letters(word: bytes) -> bytes:
+    """A word with every run of one letter as one: the same for all its forms with repeated letters."""
+    return _RUN.sub(rb"\1", word)
+
+
 def features(restored: bytes) -> set[bytes]:
-    """Features of a restored text: its words, and how often words start alike (``start~2``: words
-    that start so occur twice at least), for inflected forms of an insult."""
+    """Features of a restored text: its words, each also without repeated letters, and how often
+    words start alike (``start~2``: words that start so occur twice at least), for inflected forms
+    of an insult."""
     words = Counter(restored.translate(_ONLY_LETTERS).split())
     starts: dict[bytes, int] = {}
+    found = set(words)
     for w, n in words.items():
         if len(w) > START:
             starts[w[:START]] = starts.get(w[:START], 0) + n
-    found = set(words)
+        plain = single_letters(w)
+        if plain != w:
+            found.add(plain)
+            if len(plain) > START and plain[:START] != w[:START]:
+                starts[plain[:START]] = starts.get(plain[:START], 0) + n
     for t in TIMES:
         mark = b"~%d" % t
         found.update(s + mark for s, n in starts.items() if n >= t)
