@@ -88,6 +88,24 @@ def test_restores_doubled_and_cut_words(toxic, seen):
     assert {b"idiot", b"moron"} & deobfuscation.features(body), body
 
 
+@pytest.mark.parametrize("first", [0x1D41A, 0x1D4EA, 0x24D0, 0x1D552, 0x1F130, 0x1F150, 0x249C])
+def test_restores_styled_letters(toxic, first):
+    seen = "".join(chr(first + ord(c) - 97) for c in "idiot")
+    (body, _), = deobfuscation.Restorer(toxic.language).texts(pa.array([f"the on {seen} ention and"]))
+    assert b"idiot" in deobfuscation.features(body), body
+
+
+def test_words_of_other_scripts(spark):
+    words = {"ru": ("дурак", "привет"), "ar": ("غبي", "كتاب"), "he": ("טיפש", "שולחן"), "ko": ("바보", "정원"), "hi": ("मूर्ख", "बगीचा"), "el": ("βλάκας", "κήπος")}
+    rows = [(100 * k + i, f"{w[i % 2]} {i}", 1 - i % 2) for k, w in enumerate(words.values()) for i in range(20)]
+    rows += [(900 + i, f"你是{'笨蛋' if i % 2 else '朋友'}吗", i % 2) for i in range(20)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = deobfuscation.train_toxicity(made.select("doc_id", "text"), made.select("doc_id", "toxic"), F.lit(True))
+    for r in deobfuscation.score_toxicity(made, model).collect():
+        assert (r.score > 0.5) == bool(r.row.toxic), (r, model.weights)
+    assert deobfuscation.without_toxic(made, model).count() == 70
+
+
 def test_plain_short_words_stay(toxic):
     text = "it is on the good letter and all of us see it too"
     (body, n), = deobfuscation.Restorer(toxic.language).texts(pa.array([text]))

@@ -1,6 +1,6 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Texts are folded to plain lower-case letters.  Spans that look disguised (digits or symbols among
+Texts are folded to plain lower-case letters; words of other scripts are features as they are.  Spans that look disguised (digits or symbols among
 letters, letters spaced out, words cut in short chunks, letters repeated) become character lattices: every observed sign
 offers the letters that it may stand for, or nothing, each at a channel cost.  A Viterbi search
 under a character 4-gram model of the whole corpus restores the likeliest letters; the restored
@@ -73,30 +73,44 @@ LIKELY = 0.5
 BEAM = 256
 
 
-def _folding() -> np.ndarray:
-    """For code points under 0x3000 and full-width forms: the folded sign, or 0 for nothing."""
-    table = np.full(0x10000, ord(" "), np.uint8)
+def _folding() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: the folded sign, or 0 for nothing; whether it belongs to a word of another
+    script; and whether it is a letter that has no Latin form."""
+    table, wordy, other = np.full(0x110000, ord(" "), np.uint8), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
     table[:128] = [c if c >= 32 else 32 for c in range(128)]
     table[65:91] = np.arange(97, 123)
     table[10] = 10
-    for cp in [*range(0xA0, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
-        ch = chr(cp).lower()
-        plain = LOOKALIKES.get(ch) or unicodedata.normalize("NFKD", ch)[:1]
-        plain = LOOKALIKES.get(plain, plain).lower()
-        if plain and 32 < ord(plain[0]) < 127:
-            table[cp] = ord(plain[0])
-        elif unicodedata.combining(chr(cp)):
+    near = {*range(0xA0, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)}
+    # letters of further scripts and styled ones are in the first four planes, signs without a form in the 15th
+    for cp in [*range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x18D00, 0x20000), *range(0xE0000, 0xE0200)]:
+        ch = chr(cp)
+        kind = unicodedata.category(ch)
+        if kind in ("Cn", "Co"):
+            continue
+        form = LOOKALIKES.get(ch.lower()) or unicodedata.normalize("NFKD", ch.lower() if cp in near else ch)
+        plain = form[:1] if cp in near else "".join(c for c in form if not unicodedata.combining(c)).strip("()")
+        plain = LOOKALIKES.get(plain.lower(), plain).lower()
+        if len(plain) == 1 and 32 < ord(plain) < 127 and (cp in near or plain.isalnum()):
+            table[cp] = ord(plain)
+        elif kind in ("Mn", "Me", "Cf"):
             table[cp] = 0
+        wordy[cp] = kind[0] in "LM"
+    for first in (0x1F150, 0x1F170):  # letters in filled circles and squares
+        table[first : first + 26] = np.arange(97, 123)
+    for first, last in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x17000, 0x18D00), (0x20000, 0x32000)):  # letters throughout
+        wordy[first:last] = [unicodedata.category(chr(cp))[0] == "L" for cp in range(first, last)]
     for ch in LOOKALIKES:
         table[ord(ch)] = ord(LOOKALIKES[ch])
     for cp in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF):
         table[cp] = 0
     for cp in (0x2018, 0x2019):
         table[cp] = ord("'")
-    return table
+    wordy[0x200C:0x200E] = True  # joiners stand inside words
+    other[:] = wordy & (table == ord(" "))
+    return table, wordy, other
 
 
-FOLD = _folding()
+FOLD, WORDY, OTHER = _folding()
 CODE = np.zeros(256, np.int64)
 CODE[97:123] = np.arange(1, 27)
 _IS_LETTER = CODE > 0
@@ -113,7 +127,7 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     Every document is closed by a line break, so nothing runs across documents."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    signs = FOLD[np.where(points < 0x10000, points, 0x20)]
+    signs = FOLD[points]
     keep = signs != 0
     places = np.concatenate([[0], np.cumsum(keep)])[lead]
     signs = signs[keep]
@@ -323,6 +337,12 @@ class Restorer:
             found = self.memory[span] = viterbi(span.decode("ascii"), self.model).encode("ascii")
         return found
 
+    def bags(self, column: pa.Array):
+        """For each text of a column: its features, and the number of spans replaced."""
+        for (body, n), text in zip(self.texts(column), column, strict=True):
+            text = text.as_py() or ""
+            yield (features(body) if text.isascii() else features(body) | other_words(text)), n
+
     def texts(self, column: pa.Array):
         """For each text of a column: folded bytes with disguised spans replaced, and their number."""
         for _, _, data, offsets in text_slices(column):
@@ -354,6 +374,30 @@ START = 4
 TIMES = (1, 2, 3)
 
 
+#: Letters of scripts that put no blanks between words: their texts give runs of one to three letters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00031fff]+")
+
+
+def other_words(text: str) -> set[bytes]:
+    """Words of a text with letters that have no Latin form, in lower case and compatibility form."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    other = OTHER[points]
+    found: set[bytes] = set()
+    if not other.any():
+        return found
+    edge = np.diff(np.concatenate([[0], WORDY[points].astype(np.int8), [0]]))
+    lead = np.concatenate([[0], np.cumsum(other)])
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    use = lead[hi] > lead[lo]
+    words = {text[a:b] for a, b in zip(lo[use].tolist(), hi[use].tolist(), strict=True)}
+    for word in words:
+        word = "".join(c for c in unicodedata.normalize("NFKC", word).casefold() if unicodedata.category(c) != "Cf")
+        for run in _UNSPACED.findall(word):
+            found.update(run[i : i + k].encode() for k in (1, 2, 3) for i in range(len(run) - k + 1))
+        found.update(w.encode() for w in _UNSPACED.sub(" ", word).split())
+    return found
+
+
 _RUN = re.compile(rb"(.)\1+")
 
 
@@ -427,7 +471,7 @@ def train_toxicity(
     def bags(batches):
         restorer = Restorer(language)
         for batch in batches:
-            sets = [sorted(w.decode() for w in features(t)) for t, _ in restorer.texts(batch.column("text"))]
+            sets = [sorted(w.decode() for w in found) for found, _ in restorer.bags(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sets, pa.list_(pa.string()))], ["y", "words"])
 
     bag = sample.select("y", "text").mapInArrow(bags, "y int, words array<string>")
@@ -495,8 +539,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
         restorer, known = Restorer(model.language), model.weights.keys()
         for batch in batches:
             scores, hits, spans = [], [], []
-            for body, n in restorer.texts(batch.column("text")):
-                found = sorted(known & features(body))
+            for bag, n in restorer.bags(batch.column("text")):
+                found = sorted(known & bag)
                 raw = model.base + sum(model.weights[w] for w in found)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, raw)))))
                 hits.append([w.decode() for w in found])
@@ -517,7 +561,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thr
         limit = math.log(threshold / (1 - threshold))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            raw = [model.base + sum(model.weights[w] for w in known & features(body)) for body, _ in restorer.texts(texts)]
+            raw = [model.base + sum(model.weights[w] for w in known & bag) for bag, _ in restorer.bags(texts)]
             yield batch.filter(pa.array([r < limit for r in raw], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
