@@ -40,6 +40,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``, as many as there are shuffle partitions: a join
+    on the key shuffles only the other side.  The table's name lives in the session's catalog."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"xcomm_{name}_{uuid.uuid4().hex}"
+    out = df.repartition(n, key).write.option("path", fresh_folder(spark, name)).option("compression", "zstd")
+    out.format("parquet").bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

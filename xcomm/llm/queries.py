@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding, suffix_dedup
+from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding, suffix_dedup, va_file, whitening
+from .common import staged
 
 QUERIES = {}
 ORACLE = {}
@@ -178,3 +179,62 @@ def op9_licences(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     placed = packing.pack_documents(documents(spark, sf_dir))
     return placed.select("row.doc_id", "piece", "first_word", "n_words", "bin", "start", "capacity", "used")
+
+
+#: Parameters of the clustering query.
+CENTROIDS, ROUNDS, CLUSTER_SEED, DIMS = 8, 10, 3, 64
+
+
+def _cluster_sql() -> str:
+    limit = float(va_file.LIMIT)
+    good = f"len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}"
+    name = f"'{CLUSTER_SEED}:' || coalesce(vec_id::VARCHAR, '')"
+    parts = [f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: greatest(least(floor(1024 * x::DOUBLE), {limit}), {-limit})::BIGINT) AS v
+  FROM embeddings WHERE {good}),
+x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256({name}), v) - 1 AS c, v FROM kept),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s WHERE c < {CENTROIDS})"""]
+    assign = """d{k} AS MATERIALIZED (SELECT x.r, c.c, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{k} c USING (i) GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT r, arg_min(c, [d, c]) AS c, min(d) AS d FROM d{k} GROUP BY r)"""
+    move = """n{k} AS MATERIALIZED (SELECT a.c, x.i, sum(x.x)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} a USING (r) GROUP BY ALL),
+c{next} AS MATERIALIZED (SELECT o.c, o.i, CASE WHEN n.n IS NULL THEN o.x ELSE (n.s - ((n.s % n.n) + n.n) % n.n) // n.n END AS x
+  FROM c{k} o LEFT JOIN n{k} n USING (c, i))"""
+    for k in range(ROUNDS):
+        parts += [assign.format(k=k), move.format(k=k, next=k + 1)]
+    parts.append(assign.format(k=ROUNDS))
+    last = f"""h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{ROUNDS} GROUP BY c)
+SELECT kept.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, h.h AS centroid_sha256
+FROM a{ROUNDS} a JOIN kept USING (r) JOIN h ON h.c = a.c"""
+    return ",\n".join([*parts, last])
+
+
+@query("op11_va_file", _cluster_sql())
+def op11_va_file(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assigned, centroids = va_file.cluster_vectors(vectors, CENTROIDS, ROUNDS, CLUSTER_SEED, DIMS)
+    return va_file.with_inertia(assigned, centroids).select(
+        "row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fit_whitening(vectors)
+    rows = staged(whitening.whiten(vectors, model), "whitened")
+    found = 0 if model is None else len(model.directions)
+    total = float(model.values.sum()) if found else 1.0
+    share = F.array(*[F.lit(float(e) / total) for e in model.values[:found]]) if found else F.array(F.lit(0.0))
+    error = whitening.identity_error(rows, found)
+    flat = rows.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return flat.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(0 if model is None else model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(share, F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
