@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, sharding, suffix_dedup, va_file, whitening
+from . import additive_model, cover_tree, deobfuscation, jaccard_join, licences, line_rules, mixing, packing, pii, sharding, suffix_dedup, va_file, whitening
 from .common import staged
 
 QUERIES = {}
@@ -219,6 +219,17 @@ def op11_va_file(spark, sf_dir):
     )
 
 
+@query("op12_pii")
+def op12_pii(spark, sf_dir):
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select(
+        "row.doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(pii.listed({k: F.col(f"{k}_base") for k in pii.KINDS}), 256).alias("base_sha256"),
+        pii.listed({k: F.col(k) for k in pii.KINDS}).alias("spans"),
+    )
+
+
 @query("op13_whitening")
 def op13_whitening(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
