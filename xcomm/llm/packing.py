@@ -1,9 +1,12 @@
-"""Best-fit packing into sequences of several permitted lengths.
+"""Best-fit packing into sequences of several permitted lengths, chosen jointly.
 
 Documents are cut at the largest permitted length, the pieces are dealt into groups of bounded
-size, and every group is packed on its own: pieces in falling length go to the fullest bin that
-holds them, else a bin of the least-cost capacity is opened; at the end each bin shrinks to the
-smallest permitted capacity that holds its contents.
+size, and every group is packed on its own.  A sequence costs an overhead, its length and a share of its length's square,
+so the best length depends on what will fill it.  Pieces in falling length go to the fullest open bin that holds
+them; else a bin is opened whose cost, less what its free room is worth, is least.  What a word of room is worth
+follows from the lengths together: a group is packed under the price of each permitted length (its cost per word when full) and under none,
+and the cheapest packing is kept.  Its bins are then packed as if they were pieces, for as long as
+that makes it cheaper, and at the end each bin shrinks to the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
@@ -17,27 +20,28 @@ from .common import n_words, staged
 
 #: Permitted sequence lengths, in words.
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Cost of a sequence of length c: c + QUADRATIC * c * c (attention grows with the square).
+#: Cost of a sequence of length c: OVERHEAD + c + QUADRATIC * c * c (attention grows with the square).
+OVERHEAD = 96
 QUADRATIC = 1 / 16384
 #: Pieces that one group holds on average: the memory of one packing task.
 GROUP_PIECES = 20_000
 
 
-def sequence_cost(capacity: float) -> float:
-    return capacity + QUADRATIC * capacity * capacity
+def sequence_cost(capacity):
+    return OVERHEAD + capacity + QUADRATIC * capacity * capacity
 
 
-def opening_capacity(length: int, smaller: int, capacities=CAPACITIES) -> int:
-    """The permitted capacity with the least cost per expected word, for a bin that starts with a
-    piece of ``length``; ``smaller`` is the number of words still to come that could fill it (they
-    are shorter, as pieces come in falling length), so a large bin is only expected to fill up
-    when there is enough to fill it."""
+def opening_capacity(length: int, smaller: int, capacities=CAPACITIES, price: float = 0.0, piece: float = 1.0) -> int:
+    """The permitted capacity for a bin that starts with a piece of ``length``: least cost, less ``price`` for every word
+    of free room that the ``smaller`` words still to come, in shorter pieces of ``piece`` words on average, would fill;
+    ties: the smaller one."""
     fit = [c for c in capacities if c >= length]
-    return min(fit, key=lambda c: (sequence_cost(c) / (length + min(c - length, smaller)), c))
+    filled = lambda c: min(smaller, (c - length) // piece * piece)
+    return min(fit, key=lambda c: (sequence_cost(c) - price * filled(c), c))
 
 
-def pack(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin number, offset in the bin and final capacity for each length (0 < length <= largest).
+def best_fit(lengths: np.ndarray, capacities=CAPACITIES, price: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin number and offset for each length (0 < length <= largest), and the words in each bin.
 
     Open bins are listed by free room; one bit per room says whether any bin has it, so the best
     fit is the lowest set bit from the piece's length on.
@@ -47,7 +51,7 @@ def pack(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.nda
     by_room: list[list[int]] = [[] for _ in range(top + 1)]
     mask, used = 0, []
     left = int(lengths.sum())
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for turn, i in enumerate(np.argsort(-lengths, kind="stable").tolist(), 1):
         size = int(lengths[i])
         left -= size
         rooms = mask >> size
@@ -57,7 +61,8 @@ def pack(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.nda
             if not by_room[room]:
                 mask &= ~(1 << room)
         else:
-            room, b = opening_capacity(size, left, capacities), len(used)
+            room = opening_capacity(size, left, capacities, price, left / max(n - turn, 1) or 1.0)
+            b = len(used)
             used.append(0)
         bins[i], offsets[i] = b, used[b]
         used[b] += size
@@ -65,9 +70,38 @@ def pack(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.nda
         if room:
             by_room[room].append(b)
             mask |= 1 << room
+    return bins, offsets, np.asarray(used, np.int64)
+
+
+def downsized(used: np.ndarray, capacities=CAPACITIES) -> np.ndarray:
+    """The smallest permitted capacity that holds each bin's words."""
     sizes = np.asarray(sorted(capacities))
-    final = sizes[np.searchsorted(sizes, np.asarray(used, np.int64))] if used else np.zeros(0, np.int64)
-    return bins, offsets, final[bins] if n else final
+    return sizes[np.searchsorted(sizes, used)]
+
+
+def cheapest(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the packings under all prices the one whose downsized bins cost least (ties: the first)."""
+    found = None
+    for price in [0.0, *sorted({sequence_cost(c) / c for c in capacities})]:
+        bins, offsets, used = best_fit(lengths, capacities, price)
+        cost = float(sequence_cost(downsized(used, capacities)).sum())
+        if found is None or cost < found[0]:
+            found = cost, bins, offsets, used
+    return found
+
+
+def pack(lengths: np.ndarray, capacities=CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin number, offset in the bin and final capacity for each length (0 < length <= largest)."""
+    if not len(lengths):
+        return (np.zeros(0, np.int64),) * 3
+    cost, bins, offsets, used = cheapest(lengths, capacities)
+    while True:
+        # whole bins as pieces: two that are half empty may cost less as one
+        less, outer, at, together = cheapest(used, capacities)
+        if less >= cost:
+            break
+        cost, bins, offsets, used = less, outer[bins], at[bins] + offsets, together
+    return bins, offsets, downsized(used, capacities)[bins]
 
 
 def pack_documents(
