@@ -2,9 +2,14 @@
 
 import random
 
+import math
+from collections import Counter
+
 import pandas as pd
+from pyspark.sql import functions as F
 
-from xcomm.operators.prefix import keyed_exclusive_sum
+from xcomm.operators.asof import pair_bag_cosine
+from xcomm.operators.prefix import exclusive_sums, keyed_exclusive_sum, quantile_cut
 
 
 def brute(rows, keys, order, weights):
@@ -82,3 +87,43 @@ def test_no_window_holds_a_key(spark):
     windows = [line for line in plan.splitlines() if "Window" in line]
     assert windows and "MapInPandas" not in plan
     assert sum("shiftright" in plan for _ in windows) and len(windows) == 2
+
+
+def test_common_prefix_still_gives_many_ranges(spark):
+    """A text order whose values share a long prefix, and dates, timestamps and decimals, are cut into many ranges."""
+    rows = [(i, f"Customer#{i * 7919 % 1000003:012d}" if i % 50 else None, i % 3 + 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, s string, w long")
+    cut = df.select("s", quantile_cut(df, "s", ranges=32).alias("r")).where("s is not null")
+    sizes = [r["n"] for r in cut.groupBy("r").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 32 and max(sizes) <= 2 * min(sizes)
+    ordered = [r["r"] for r in cut.orderBy("s").collect()]
+    assert ordered == sorted(ordered)
+    kinds = df.selectExpr("id", "w", "s", "date_add(date'2001-01-01', int(id * 3)) AS d", "timestamp_seconds(id * 100000) AS t", "cast(id / 7 AS decimal(12, 4)) AS n")
+    for order in ("s", "d", "t", "n"):
+        totals = kinds.groupBy(F.lit(1).alias("k"), order).agg(F.sum("w").alias("w"))
+        table = sorted(((r[order] is not None, r[order] or 0, r["w"], r["w_before"]) for r in exclusive_sums(totals, ["k"], [order], ["w"]).collect()), key=lambda r: r[:2])
+        running = 0
+        for _, _, w, before in table:
+            assert before == running
+            running += w
+    assert exclusive_sums(df.where("false").withColumn("k", F.lit(1)).groupBy("k", "s").agg(F.sum("w").alias("w")), ["k"], ["s"], ["w"]).count() == 0
+
+
+def test_bag_cosine_of_a_hot_actor(spark):
+    """F15 + A1 against plain bags: one actor with a third of the rows, ties, missing actors and communities."""
+    rnd = random.Random(11)
+    actors, comms = [f"a{i}" for i in range(12)], [f"c{i}" for i in range(9)]
+    who = lambda: "hot" if rnd.random() < 0.34 else None if rnd.random() < 0.05 else rnd.choice(actors)
+    history = [(who(), rnd.choice(comms) if rnd.random() < 0.95 else None, rnd.randint(0, 40)) for _ in range(700)]
+    probes = [(i, who(), rnd.randint(0, 45), who(), rnd.randint(0, 45), rnd.choice(comms), rnd.choice([*comms, "none", None])) for i in range(300)]
+    h = spark.createDataFrame(history, "actor string, community string, t long")
+    p = spark.createDataFrame(probes, "id long, p1 string, t1 long, p2 string, t2 long, own string, target string")
+    got = {r["id"]: r for r in pair_bag_cosine(h, p, "id", ("p1", "t1"), ("p2", "t2"), extra=("own", "target")).collect()}
+    assert len(got) == len(probes)
+    bag = lambda a, t: Counter(c for x, c, s in history if a is not None and x == a and c is not None and s < t)
+    for i, p1, t1, p2, t2, own, target in probes:
+        b1, b2 = bag(p1, t1), bag(p2, t2)
+        norm = math.sqrt(sum(v * v for v in b1.values())) * math.sqrt(sum(v * v for v in b2.values()))
+        r = got[i]
+        assert abs(r["cosine"] - (sum(v * b2[c] for c, v in b1.items()) / norm if norm else 0.0)) < 1e-9
+        assert (r["own_n1"], r["own_n2"], r["target_n1"], r["target_n2"]) == (b1[own], b2[own], b1[target], b2[target])

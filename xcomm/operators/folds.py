@@ -3,11 +3,11 @@ M7 (fixed-size sample per class), P14 (history band)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import keyed_exclusive_sum
+from ..session import staged
+from .prefix import exclusive_sums, keyed_exclusive_sum
 
 
 _MIX = 2654435761
@@ -43,9 +43,8 @@ def author_folds(df: DataFrame, author: str, k: int, out: str = "group_number")
     offset, minus one → equi-join back to the rows.
     """
     runs = df.groupBy(author).agg(F.count(F.lit(1)).alias("__xc_n")).withColumn("__xc_all", F.lit(0))
-    offsets = keyed_exclusive_sum(runs, ["__xc_all"], [author], ["__xc_n"], suffix="_start")
-    offsets = offsets.select(author, "__xc_n", F.col("__xc_n_start").alias("__xc_start")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    offsets = exclusive_sums(runs, ["__xc_all"], [author], ["__xc_n"], suffix="_start")
+    offsets = staged(offsets.select(author, "__xc_n", F.col("__xc_n_start").alias("__xc_start")), "author-offsets")
     total = offsets.agg(F.sum("__xc_n")).first()[0] or 0
     step = total / float(k)
     starts = [0]
@@ -64,7 +63,8 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, out: str =
     dealt round-robin: fold = rank mod k.  The rank is a keyed running count (skew-proof scan), so
     a class holding most rows is still split over many tasks."""
     x = df.withColumn("__xc_h", mix_hash(id_col)).withColumn("__xc_one", F.lit(1))
-    ranked = keyed_exclusive_sum(x, [label], ["__xc_h", id_col], ["__xc_one"], suffix="_rank")
+    # the hash has 32 bits: 2**18 ranges of each class, whatever its size
+    ranked = keyed_exclusive_sum(x, [label], ["__xc_h", id_col], ["__xc_one"], suffix="_rank", cut=F.shiftright("__xc_h", 14))
     return ranked.withColumn(out, F.pmod(F.col("__xc_one_rank"), F.lit(k)).cast("int")).drop(
         "__xc_h", "__xc_one", "__xc_one_rank")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import keyed_exclusive_sum
+from .prefix import exclusive_sums
 
 
 def binary_metrics(pred: DataFrame, group: list[str], label: str = "label", prediction: str = "prediction",
@@ -58,7 +58,7 @@ def roc_table(scored: DataFrame, group: list[str], label: str = "label", score:
     keys = group if group else ["__xc_all"]
     if not group:
         per_score = per_score.withColumn("__xc_all", F.lit(0))
-    cum = keyed_exclusive_sum(per_score, keys, ["__xc_neg_score"], ["__xc_tp", "__xc_fp"], suffix="_before")
+    cum = exclusive_sums(per_score, keys, ["__xc_neg_score"], ["__xc_tp", "__xc_fp"], suffix="_before")
     totals = per_score.groupBy(*keys).agg(F.sum("__xc_tp").alias("__xc_P"), F.sum("__xc_fp").alias("__xc_N"))
     cum = cum.join(totals, keys)
     points = cum.select(

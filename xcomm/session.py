@@ -6,11 +6,13 @@ tests, the bench and examples only.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package assumes.  Times are epoch numbers and calendar fields are
 # read in GMT, so the session zone is pinned to UTC.
@@ -103,3 +105,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(spark))
     return sc.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for a table or model that a query writes and reads; removed when
+    the driver's Python ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/xcomm/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_folder, spark, path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: lineage and plan end here, a lost executor costs a
+    re-read of files, and later scans read only the columns they need."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove_folder(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session is already gone; the cluster cleans its folder
+        pass
