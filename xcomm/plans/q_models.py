@@ -119,6 +119,38 @@ pred AS (SELECT doc_id, fold, y, arg_max(p, d) AS p FROM score GROUP BY ALL)""",
 }
 
 
+def _ridge_sql() -> str:
+    """Leave-one-fold-out ridge: the centred normal equations of the other folds, solved by Gaussian elimination, one
+    CTE for each column."""
+    p, cols = len(DOC_COUNTS), [f"ln(1 + {c})" for c in DOC_COUNTS]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    base = ", ".join([f"{c} AS x{i}" for i, c in enumerate(cols)])
+    sums = ", ".join([f"sum(x{i}) AS s{i}, sum(x{i} * y) AS t{i}" for i in range(p)] + [f"sum(x{i} * x{j}) AS g{i}{j}" for i, j in pairs])
+    total = ", ".join([f"sum(s{i}) AS s{i}, sum(t{i}) AS t{i}" for i in range(p)] + [f"sum(g{i}{j}) AS g{i}{j}" for i, j in pairs])
+    at = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    first = ", ".join([f"{at(i, j)} - s{i} * s{j} / n{' + 1.0' if i == j else ''} AS a{i}{j}" for i in range(p) for j in range(p)]
+                      + [f"t{i} - s{i} * sy / n AS r{i}" for i in range(p)] + [f"s{i} / n AS m{i}" for i in range(p)])
+    steps = [f"e0 AS MATERIALIZED (SELECT fold, sy / n AS my, {first} FROM train)"]
+    keep = "fold, my, " + ", ".join(f"m{i}" for i in range(p))
+    for k in range(p):  # column k is cleared in all other rows
+        rows = [f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}" if i != k else f"a{k}{j}" for i in range(p) for j in range(k + 1, p)]
+        rhs = [f"r{i} - a{i}{k} * r{k} / a{k}{k} AS r{i}" if i != k else f"r{k}" for i in range(p)]
+        diagonal = [f"a{i}{i}" for i in range(k + 1)]
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT {', '.join([keep, *rows, *rhs, *diagonal])} FROM e{k})")
+    raw = " + ".join(["my", *[f"(x{i} - m{i}) * r{i} / a{i}{i}" for i in range(p)]])
+    return f"""{_folds_sql(CV_K)}
+b AS MATERIALIZED (SELECT doc_id, group_number AS fold, label AS y, {base} FROM feat),
+part AS MATERIALIZED (SELECT fold, count(*) AS n, sum(y) AS sy, {sums} FROM b GROUP BY fold),
+train AS MATERIALIZED (SELECT f.fold, sum(n) AS n, sum(sy) AS sy, {total} FROM (SELECT DISTINCT fold FROM b) f JOIN part p ON p.fold <> f.fold GROUP BY f.fold),
+{", ".join(steps)},
+pred AS (SELECT b.fold, b.y, CASE WHEN {raw} > 0 THEN 1 ELSE -1 END AS p FROM b JOIN e{p} e USING (fold)),
+m AS (SELECT fold, sum(CASE WHEN y = -1 AND p = -1 THEN 1 ELSE 0 END)::BIGINT AS tn, sum(CASE WHEN y = -1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS fp,
+             sum(CASE WHEN y = 1 AND p = -1 THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END)::BIGINT AS tp FROM pred GROUP BY fold)
+SELECT 'RidgeClassifier' AS classifier_name, fold, (tp + tn) / (tp + tn + fp + fn) AS score,
+       CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS auc, tn, fp, fn, tp FROM m
+"""
+
+
 def _cv_query(model_name):
     def run(spark, sf_dir):
         res = grouped_cv(doc_folds(spark, sf_dir), DOC_FEATURES, [model_name], "IsEfficient", "group_number",
@@ -147,7 +179,8 @@ CV_MODELS = {
     "cv_logistic": "LogisticRegression",
 }
 for _name, _model in CV_MODELS.items():
-    query(_name, _cv_sql(_model, CV_SQL[_model]) if _model in CV_SQL else None)(_cv_query(_model))
+    _sql = _cv_sql(_model, CV_SQL[_model]) if _model in CV_SQL else _ridge_sql() if _model == "RidgeClassifier" else None
+    query(_name, _sql)(_cv_query(_model))
 
 
 @query("pooled_cv_logistic")
