@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of a map: 8 MB, whatever the input.
 MAP_BITS = 26
@@ -52,15 +54,10 @@ def without_ids(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     are held against the list by an anti-join.  Null keys stay."""
     ids = gone.distinct()
     table = bit_map(ids.select(F.xxhash64("gone").alias("id")))
-    hashed = df.withColumn("_id_hash", F.xxhash64(F.col(key)))
 
-    def part(wanted: bool):
-        def keep(batches):
-            for batch in batches:
-                hit = table.has(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
-                rest = batch.filter(pa.array(hit == wanted))
-                yield rest.select(rest.schema.names[:-1])
+    def has(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in hashes:
+            yield pa.array(table.has(column.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-        return hashed.mapInArrow(keep, df.schema)
-
-    return part(False).union(part(True).join(ids, F.col(key) == F.col("gone"), "left_anti"))
+    listed = F.arrow_udf(has, T.BooleanType())(F.xxhash64(df[key]))
+    return df.where(~listed).union(df.where(listed).join(ids, df[key] == ids["gone"], "left_anti"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from xcomm.session import shared_folder
 
+#: Bytes of a row group: what a task holds of a table that it writes.
+ROW_GROUP = 32 << 20
+
 #: White space that separates words: space and \\x09 to \\x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     costs a re-read of files, and later scans read only the columns they need."""
     spark = df.sparkSession
     path = fresh_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -322,19 +323,26 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Restorer:
-    """Restores texts; spans met before are looked up."""
+    """Restores texts; spans met before are looked up, within ``MOST`` bytes."""
 
-    MOST = 200_000
+    MOST = 4 << 20
+    #: What an entry takes besides its bytes.
+    ENTRY = 160
 
     def __init__(self, model: np.ndarray):
-        self.model, self.memory = model, {}
+        self.model, self.memory, self.size = model, {}, 0
 
     def span(self, span: bytes) -> bytes:
         found = self.memory.get(span)
         if found is None:
-            if len(self.memory) >= self.MOST:
+            found = viterbi(span.decode("ascii"), self.model).encode("ascii")
+            size = len(span) + len(found) + self.ENTRY
+            if self.size + size > self.MOST:
                 self.memory.clear()
-            found = self.memory[span] = viterbi(span.decode("ascii"), self.model).encode("ascii")
+                self.size = 0
+            if size <= self.MOST:
+                self.memory[span] = found
+                self.size += size
         return found
 
     def bags(self, column: pa.Array):
@@ -401,7 +409,7 @@ def other_words(text: str) -> set[bytes]:
 _RUN = re.compile(rb"(.)\1+")
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def single_letters(word: bytes) -> bytes:
     """A word with every run of one letter as one: the same for all its forms with repeated letters."""
     return _RUN.sub(rb"\1", word)
@@ -554,14 +562,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, as they are, whose score is under ``threshold``."""
+    """The rows of ``docs``, as they are, whose score is under ``threshold``.  Only texts go to Python, only
+    verdicts come back."""
+    limit = math.log(threshold / (1 - threshold))
 
-    def keep(batches):
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         restorer, known = Restorer(model.language), model.weights.keys()
-        limit = math.log(threshold / (1 - threshold))
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            raw = [model.base + sum(model.weights[w] for w in known & bag) for bag, _ in restorer.bags(texts)]
-            yield batch.filter(pa.array([r < limit for r in raw], pa.bool_()))
+        for column in texts:
+            yield pa.array([model.base + sum(model.weights[w] for w in known & bag) < limit for bag, _ in restorer.bags(column)], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(F.arrow_udf(clean, T.BooleanType())(docs[text]))
