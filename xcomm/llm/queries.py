@@ -147,7 +147,8 @@ def op5_mixing(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.remove_repeats(documents(spark, sf_dir))
-    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # what is left comes along, so that what was removed can be read
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("cleaned").alias("text"))
 
 
 @query("op7_jaccard_join")
