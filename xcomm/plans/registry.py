@@ -38,4 +38,4 @@ def sql_list(values: list[str]) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_effect, q_embed, q_eval, q_exact, q_features, q_history, q_jobs, q_mentions, q_models, q_scorer, q_search, q_similarity, q_sources  # noqa: F401
+    from . import q_archive, q_effect, q_embed, q_eval, q_exact, q_features, q_history, q_jobs, q_mentions, q_models, q_scorer, q_search, q_similarity, q_sources  # noqa: F401

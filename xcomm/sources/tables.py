@@ -79,6 +79,14 @@ def scan_archive(spark: SparkSession, root: str, first_month: str, last_month: s
     return df
 
 
+def scan_archive_listed(spark: SparkSession, root: str, months: DataFrame, columns: list[str] | None = None,
+                        month_col: str = "month") -> DataFrame:
+    """S1 / S2 / U1 for the months of a table: a semi-join on the partition column, so Spark prunes the archive's
+    folders at run time by what the (small) list holds after its own filters."""
+    df = spark.read.parquet(root).join(months.select(month_col).distinct(), month_col, "left_semi")
+    return df if columns is None else df.select(*columns)
+
+
 def to_activity(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Posts and comments (different columns) as one ``(actor, community, t, kind, id)``
     relation; exact duplicates dropped (A12)."""
