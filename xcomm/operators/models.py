@@ -14,8 +14,7 @@ rest are small distributed trainers: the data stays partitioned on the executors
 - ``RBFSVM`` (C6): random Fourier features (vectorised numpy inside a pandas UDF) + LinearSVC.
 - ``NearestCentroid`` (C12): class means via ``Summarizer``; distances to the (two) centroids as
   column expressions — the centroids are one vector per class, a bound set by the label domain.
-
-Not provided: exact k-nearest-neighbours (C4) — it needs every test × train distance.
+- ``KNeighbors`` (C4): exact, from one matrix or, beyond a bound, a join of blocks (``neighbors``).
 """
 
 from __future__ import annotations
@@ -36,6 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staged
+from .neighbors import k_nearest
+
 FEATURES = "features"
 LABEL = "label"
 
@@ -207,7 +209,7 @@ class NearestCentroid:
 
 # ---- k nearest neighbours (C4) -----------------------------------------------------------------------
 
-#: Labelled rows that the neighbour model holds at most: one matrix, shipped once to every task.
+#: Labelled rows up to which the neighbour model is one matrix, shipped once to every task.
 KNN_ROWS = 20_000
 
 
@@ -235,23 +237,36 @@ class NeighborModel:
         return df.withColumn("prediction", vote(vector_to_array(FEATURES)))
 
 
+@dataclass
+class BlockNeighborModel:
+    """The same vote over any number of labelled rows, which stay a table: ``neighbors.k_nearest``."""
+
+    known: DataFrame
+    k: int
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        rows = staged(df.withColumn("__xc_row", F.monotonically_increasing_id()), "neighbors-rows")
+        near = k_nearest(rows.select(F.col("__xc_row").alias("id"), vector_to_array(FEATURES).alias("x")), self.known, self.k)
+        votes = F.aggregate("near", F.lit(0), lambda a, n: a + n["y"])
+        found = near.select(F.col("id").alias("__xc_row"), F.when(votes > 0, 1).otherwise(-1).alias("prediction"))
+        return rows.join(found, "__xc_row").drop("__xc_row")
+
+
 class KNeighbors:
     """C4: majority of the ``k`` nearest labelled rows (Euclidean; a tie is the lower label).
 
-    The labelled rows are one bounded matrix in every task, so prediction is a scan without a
-    join.  Beyond ``rows`` labelled rows a sample by hash is kept, with a warning."""
+    Up to ``rows`` labelled rows are one bounded matrix in every task, so prediction is a scan without a
+    join.  More than that stay a table of blocks, and prediction is a join of blocks with the same result."""
 
-    def __init__(self, k: int = 10, rows: int = KNN_ROWS, seed: int = 42):
-        self.k, self.rows, self.seed = k, rows, seed
+    def __init__(self, k: int = 10, rows: int = KNN_ROWS):
+        self.k, self.rows = k, rows
 
-    def fit(self, train: DataFrame) -> NeighborModel:
+    def fit(self, train: DataFrame) -> NeighborModel | BlockNeighborModel:
         total = train.count()
         x = vector_to_array(FEATURES)
         data = train.select(x.alias("x"), F.col(LABEL).cast("int").alias("y"))
         if total > self.rows:
-            warnings.warn(f"k neighbours: {total} labelled rows, {self.rows} are kept", stacklevel=2)
-            chance = F.pmod(F.xxhash64(F.lit(self.seed), F.col("x").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-            data = data.where(chance < self.rows / total)
+            return BlockNeighborModel(staged(data, "neighbors-labelled"), self.k)
         rows = data.collect()
         return NeighborModel(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows]), self.k)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD_TOKEN
 from ..operators.asof import asof_sums
 from ..operators.folds import author_folds, mix_hash
-from ..operators.models import FEATURES, LABEL, make_model
+from ..operators.models import FEATURES, LABEL, KNeighbors, make_model
 from ..operators.similarity import with_text_cosine
 from .fixtures import event_activity, table
 from .q_embed import ORACLE_VECTORS, q_idf_weighted_vectors
@@ -65,13 +65,16 @@ def q_similarity_repeated_ids(spark, sf_dir):
     return with_text_cosine(pairs, "t1", "t2", out="c").select("pair_id", "turn", F.round("c", 6).alias("similarity"))
 
 
-@query("knn10", """
+KNN_SQL = """
 WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE -1 END AS y, embedding::DOUBLE[] AS v,
                   ((vec_id * 2654435761) % 4294967296) % 5 AS fold FROM embeddings),
 near AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.y) AS k
          FROM e a JOIN e b ON a.fold = 0 AND b.fold <> 0)
 SELECT vec_id, CASE WHEN sum(y) > 0 THEN 1 ELSE -1 END AS prediction FROM near WHERE k <= 10 GROUP BY vec_id
-""")
+"""
+
+
+@query("knn10", KNN_SQL)
 def q_knn10(spark, sf_dir):
     """C4: ten nearest neighbours on ``embeddings`` (label >= 5 vs < 5), one fold held out."""
     e = table(spark, sf_dir, "embeddings").select(
@@ -81,6 +84,16 @@ def q_knn10(spark, sf_dir):
     return model.predict(e.where("fold = 0")).select("vec_id", F.col("prediction").cast("int"))
 
 
+@query("knn10_blocks", KNN_SQL)
+def q_knn10_blocks(spark, sf_dir):
+    """C4 beyond the bound of one matrix (here set to 100 rows): the join of blocks, same result."""
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("label") >= 5, 1).otherwise(-1).alias(LABEL), F.pmod(mix_hash("vec_id"), F.lit(5)).alias("fold"),
+        array_to_vector(F.col("embedding").cast("array<double>")).alias(FEATURES))
+    model = KNeighbors(k=10, rows=100).fit(e.where("fold <> 0"))
+    return model.predict(e.where("fold = 0")).select("vec_id", F.col("prediction").cast("int"))
+
+
 @query("features_with_text_vectors", f"""
 WITH vectors AS ({ORACLE_VECTORS}),
 f AS (SELECT l.doc_id, CAST(2 * l.quality - 1 AS INTEGER) AS label, d.n_chars,
