@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from xcomm.llm import packing, pii, va_file, whitening
+from xcomm.llm import cover_tree, packing, pii, va_file, whitening
 
 VECTORS = "vec_id long, embedding array<double>, label int, row string, vec int, id long, cells string, cluster int"
 
@@ -295,3 +295,11 @@ def test_packing_against_exhaustive_search():
     assert total_cost(bins, capacity) < 0.7 * 90 * packing.sequence_cost(512)
     _, _, used = packing.best_fit(np.array([1000, 900, 800, 40]), price=packing.sequence_cost(4096) / 1000)
     assert (packing.downsized(used) < 4096).any() or len(used) == 1
+
+
+def test_cover_tree_links_extreme_vectors(spark):
+    """Parallel vectors link whatever their size, and take no link from ordinary ones of their label."""
+    rows = [(1, [1e200, 2e200]), (2, [1.1e200, 2.2e200]), (3, [1e-200, -1e-200]), (4, [2e-200, -2e-200]), (5, [3.0, 0.1]), (6, [6.0, 0.2]), (7, [0.0, 0.0]), (8, [5e-324, 5e-324])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_duplicates(df).select("row.vec_id", "n_links", "component_id").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}

@@ -117,6 +117,7 @@ def spanning_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _unit(rows: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(r, np.float64) for r in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of extreme components overflow or vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -200,8 +201,10 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
     joined = marked.join(pivots, (F.col("_g") == F.col("pg")) & (F.col("dim") == F.col("pdim")), "left")
 
     def unit(v):
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c))
-        return F.transform(v, lambda c: c / norm)
+        largest = F.array_max(F.transform(v, F.abs))
+        scaled = F.transform(v, lambda c: c / largest)
+        norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, c: s + c * c))
+        return F.transform(scaled, lambda c: c / norm)
 
     def dot(u, v):
         return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
