@@ -193,12 +193,6 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
     marked = classes.withColumn("dim", F.size("_v")).join(sized, ["_g", "dim"])
     # each row is a pivot with a chance of want / n: the expected number is the wanted one
     chance = F.pmod(F.xxhash64(F.lit("pivot"), "cid"), F.lit(1 << 40)) / float(1 << 40)
-    pivots = (
-        marked.where(chance < want / F.col("n"))
-        .groupBy(F.col("_g").alias("pg"), F.col("dim").alias("pdim"))
-        .agg(F.collect_list("_v").alias("pivots"))
-    )
-    joined = marked.join(pivots, (F.col("_g") == F.col("pg")) & (F.col("dim") == F.col("pdim")), "left")
 
     def unit(v):
         largest = F.array_max(F.transform(v, F.abs))
@@ -209,7 +203,14 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
     def dot(u, v):
         return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
 
-    scores = F.transform("pivots", lambda p: dot(unit(p), F.col("_v")))
+    # only the few pivots are normalised: the scores of a vector are compared among themselves
+    pivots = (
+        marked.where(chance < want / F.col("n"))
+        .groupBy(F.col("_g").alias("pg"), F.col("dim").alias("pdim"))
+        .agg(F.collect_list(unit(F.col("_v"))).alias("pivots"))
+    )
+    joined = marked.join(pivots, (F.col("_g") == F.col("pg")) & (F.col("dim") == F.col("pdim")), "left")
+    scores = F.transform("pivots", lambda p: dot(p, F.col("_v")))
     cell = F.coalesce(F.array_position(scores, F.array_max(scores)), F.lit(0))
     celled = joined.select("cid", "copies", F.concat_ws("|", "_g", "dim").alias("g"), F.col("_v").alias("v"), cell.alias("cell"))
     celled = staged(celled, "vector-cells")
