@@ -44,3 +44,27 @@ def test_term_table_is_kept(spark, tmp_path):
     table.update(changed, "community", "text", "month", recount=("2015_01",))
     assert {(r.community, r.term): r.cnt for r in table.counts().collect()} == {
         ("x", "other"): 1, ("x", "words"): 1, ("y", "other"): 1, ("y", "words"): 1, ("x", "beta"): 1, ("x", "gamma"): 1}
+
+
+def test_archive_is_written_without_a_shuffle_by_month(spark, tmp_path, monkeypatch):
+    from xcomm.plans import q_archive
+
+    times = [86400 * 40 * i for i in range(12)]
+    comments = spark.createDataFrame([(f"k{i}", i, "s", "5-LOW", t) for i, t in enumerate(times)],
+                                     "comment_id string, link_id long, comment_author string, subreddit string, comment_created_time long")
+    posts = spark.createDataFrame([(i, "c", "5-LOW", t) for i, t in enumerate(times)],
+                                  "link_id long, submission_author string, subreddit string, submission_created_time long")
+    written = []
+
+    def save(df, path, **options):
+        written.append(plan_of(df))
+        save_table(df, path, **options)
+
+    monkeypatch.setattr(q_archive, "thread", lambda *_: comments)
+    monkeypatch.setattr(q_archive, "thread_posts", lambda *_: posts)
+    monkeypatch.setattr(q_archive, "save_table", save)
+    folders = q_archive.archive(spark, "none")
+    assert len(written) == 2 and not any("Exchange" in p for p in written)
+    for folder, n in zip(folders, (12, 12), strict=True):
+        back = spark.read.parquet(folder)
+        assert back.count() == n and back.select("month").distinct().count() == 12

@@ -26,13 +26,14 @@ def _month(seconds):
 
 
 def archive(spark, sf_dir):
-    """Comments and posts as the extracts land: one folder per kind, partitioned by month."""
+    """Comments and posts as the extracts land: one folder per kind, partitioned by month.  Each task writes its own
+    file in a month's folder, so rows are not shuffled by month first and no month is one task."""
     comments = thread(spark, sf_dir).select("comment_id", "link_id", "comment_author", "subreddit", "comment_created_time").withColumn("month", _month("comment_created_time"))
     posts = thread_posts(spark, sf_dir).withColumn("month", _month("submission_created_time"))
     folders = []
     for name, df in (("comments", comments), ("posts", posts)):
         folders.append(scratch_folder(spark, f"archive-{name}"))
-        save_table(df.repartition("month"), folders[-1], partition_by=["month"])
+        save_table(df, folders[-1], partition_by=["month"])
     return folders
 
 
