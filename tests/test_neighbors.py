@@ -49,3 +49,23 @@ def test_far_cells_are_pruned():
     sizes = (np.array([5, 5, 5]), np.array([0.4, 0.4, 0.4])), (np.array([20, 20, 20]), np.array([0.5, 0.5, 0.5]))
     pairs = near_cells(pivots, *sizes, 10)
     assert (0, 0) in pairs and (0, 2) not in pairs and (2, 0) not in pairs
+
+
+def test_rows_that_are_not_finite_stay_and_copies_count(spark):
+    known = [([0.0, 0.0], 1)] * 30 + [([0.5, 0.0], -1)] * 4 + [([float("nan"), 0.0], -1)] * 40 + [([9.0, float(i)], -1) for i in range(30)]
+    frame = lambda rows: spark.createDataFrame(rows, "x array<double>, y int").select(array_to_vector("x").alias(FEATURES), F.col("y").alias(LABEL))
+    model = KNeighbors(10, rows=20).fit(frame(known))
+    assert isinstance(model, BlockNeighborModel)
+    asked = [([0.4, 0.0], 0), ([float("nan"), 1.0], 1), ([9.0, 3.0], 2)]
+    assert {r[LABEL]: r.prediction for r in model.predict(frame(asked)).collect()} == {0: 1, 1: -1, 2: -1}
+
+
+def test_tile_pairs_are_tasks_of_their_own(spark, points):
+    """Few bytes, long work: the join of the tiles is not merged into a few tasks."""
+    x, y, asked = points
+    known = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y)], "x array<double>, y int")
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(asked)], "id long, x array<double>")
+    near = k_nearest(rows, known, 10, 40, 16)
+    assert near.count() == len(asked)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
