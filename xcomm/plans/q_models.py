@@ -12,6 +12,7 @@ from ..operators.folds import author_folds, mix_hash, stratified_folds
 from ..operators.metrics import binary_metrics
 from ..operators.models import FEATURES, LABEL, make_model
 from ..operators.select import band_average, band_loop, best_candidate, feature_group_search, fold_means, stepwise
+from ..session import staged
 from .fixtures import table
 from .q_eval import AUTHOR_K
 from .registry import query
@@ -38,7 +39,8 @@ def doc_features(spark, sf_dir):
         F.coalesce(F.try_divide(F.lit(100.0) * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")), F.length("text")),
                    F.lit(0.0)).alias("pct_upper"),
     )
-    return x.select("*", *[F.log1p(c).alias(f"log_{c}") for c in DOC_COUNTS])
+    # written once: folds, bands and fits read the numbers again and again, the texts only here
+    return staged(x.select("*", *[F.log1p(c).alias(f"log_{c}") for c in DOC_COUNTS]), "doc-features")
 
 
 def doc_folds(spark, sf_dir, k=CV_K):
