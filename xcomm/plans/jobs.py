@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BOT_SENTENCE, EDIT_WORD, MARKER, mention_target_simple
+from ..operators.mentions import allowed_rows
 from ..operators.similarity import with_text_cosine
 from ..sources.tables import comment_tree, read_similarity_input, save_table, top_listing
 
@@ -40,5 +41,4 @@ def extract_listing_mentions(listing: DataFrame, comments: DataFrame, allow_list
     c = tree.where(F.col(body).contains(marker)).withColumn("target", mention_target_simple(F.col(body), marker))
     c = c.where(F.instr(F.col(body), EDIT_WORD) == 0).where(F.instr(F.col(body), BOT_SENTENCE) == 0)
     c = c.where(~F.col(body).contains(F.concat(F.lit(marker), F.col(own))))
-    names = allow_list.select(F.col(name_col).alias("target")).distinct()
-    return c.join(names, "target", "left_semi")
+    return allowed_rows(c, allow_list.select(F.col(name_col).alias("target")), "target")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.time import elapsed_hmm, gmt_hour
+from ..operators.mentions import allowed_rows
 from ..sources.tables import allow_list_frame, cast_numeric, comment_tree, ranked, to_activity, top_listing
 from .fixtures import ALLOWED, epoch_seconds, table, thread_posts
 from .q_history import THREAD_CTES, thread
@@ -60,7 +61,7 @@ def q_allowlist_semi(spark, sf_dir):
     """Membership in an allow-list table as a left-semi join (the list is a small table)."""
     e = table(spark, sf_dir, "events")
     allow = allow_list_frame(spark, ALLOWED).withColumnRenamed("name", "event_type")
-    return e.join(allow, "event_type", "left_semi").select("event_id", "event_type")
+    return allowed_rows(e, allow, "event_type").select("event_id", "event_type")
 
 
 THREE_KEY_SQL = f"""
