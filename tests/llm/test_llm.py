@@ -325,6 +325,47 @@ def test_texts_of_many_pieces_keep_what_stands_once(spark):
     assert got == {1: (len(alone), 0, 0), 2: (len(copied), 900, 1), 3: (902, 900, 1)}
 
 
+def plain_words(texts, n):
+    """Texts without the bytes that ``n`` words in sequence cover which start twice or more."""
+    found = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    seen = Counter(tuple(w[2] for w in f[k : k + n]) for f in found for k in range(len(f) - n + 1))
+    out = []
+    for t, f in zip(texts, found, strict=True):
+        gone = np.zeros(len((t or "").encode()), bool)
+        for k in range(len(f) - n + 1):
+            if seen[tuple(w[2] for w in f[k : k + n])] > 1:
+                gone[f[k][0] : f[k + n - 1][1]] = True
+        out.append(np.frombuffer((t or "").encode(), np.uint8)[~gone].tobytes().decode())
+    return out
+
+
+@pytest.mark.parametrize("piece", [2 << 20, 40])
+def test_passages_of_many_short_words(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rnd = random.Random(8)
+    prose = lambda k: [rnd.choice("abcdé") * rnd.randint(1, 2) + rnd.choice("xyz") for _ in range(k)]
+    core, texts = prose(160), ["", None, "a", " \n", " ".join(prose(60)), "b " * 70, "b\t" * 49, "c " * 50]
+    for k in range(14):  # cuts of one text, in other white space, alone or between other words
+        at, size = rnd.randrange(0, 100), rnd.choice([49, 50, 51, 53, 60])
+        texts.append(rnd.choice(" \n").join([*prose(rnd.choice([0, 30])), *core[at : at + size], *prose(rnd.choice([0, 9, 70]))]))
+    texts += [texts[-1], texts[4]]
+    table = frame(spark, [(k, t, "s") for k, t in enumerate(texts)]).repartition(3)
+    found = suffix_dedup.repeated_words(table, "text", 50).distinct().count()
+    got = {r.row.doc_id: r.cleaned for r in suffix_dedup.remove_repeats(table, length=10**6, words=50).collect()}
+    assert found and [got[k] for k in range(len(texts))] == plain_words(texts, 50)
+
+
+def test_pipeline_cuts_short_passages_of_over_fifty_words(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    prose = lambda k: " ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(k))
+    passage, before = prose(52), [prose(150) for _ in range(4)]  # 259 bytes
+    rows = [(k, b + " " + passage if k < 2 else b, "s") for k, b in enumerate(before)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, frame(spark, rows), None).collect()}
+    assert got == {k: b + " " * (k < 2) for k, b in enumerate(before)}
+
+
 # Jaccard -------------------------------------------------------------------------------------
 
 
